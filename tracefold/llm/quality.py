@@ -93,7 +93,7 @@ def metrics(text: Column) -> Column:
         repeated = F.when(F.size(words) > WINDOW, let(windows, _repeated_words)).otherwise(F.lit(0).cast("long"))
         return F.struct(
             F.size(words).cast("long").alias("n_words"),
-            F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc + F.length(w)).alias("word_chars"),
+            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
             F.size(F.filter(words, lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
             repeated.alias("n_repeat_words"),
         )
