@@ -69,3 +69,8 @@ def text_or_empty(column: str = "text") -> Column:
 def words_of(text: Column) -> Column:
     """Words are maximal runs of anything but ASCII white space."""
     return F.filter(F.split(text, f"[{SPACE_CLASS}]+"), lambda w: w != "")
+
+
+def small_arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of whole texts stay at a few MB: long texts in 10,000-row batches would not."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

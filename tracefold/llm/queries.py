@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from tracefold.llm.linededup import OP3_SQL, op3_line_dedup
 from tracefold.llm.quality import OP10_SQL, op10_quality_rules
+from tracefold.llm.secrets import OP5_SQL, op5_secret_scan
 
 QUERIES = {
+    "op3_line_dedup": op3_line_dedup,
+    "op5_secret_scan": op5_secret_scan,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES = {
+    "op3_line_dedup": OP3_SQL,
+    "op5_secret_scan": OP5_SQL,
     "op10_quality_rules": OP10_SQL,
 }
