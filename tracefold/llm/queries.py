@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from tracefold.llm.chunks import op1_media_chunks
 from tracefold.llm.linededup import OP3_SQL, op3_line_dedup
 from tracefold.llm.quality import OP10_SQL, op10_quality_rules
 from tracefold.llm.secrets import OP5_SQL, op5_secret_scan
 
 QUERIES = {
+    "op1_media_chunks": op1_media_chunks,
     "op3_line_dedup": op3_line_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op10_quality_rules": op10_quality_rules,
