@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tracefold.llm.bpe import op9_byte_bpe
 from tracefold.llm.chunks import op1_media_chunks
 from tracefold.llm.linededup import OP3_SQL, op3_line_dedup
 from tracefold.llm.quality import OP10_SQL, op10_quality_rules
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_media_chunks": op1_media_chunks,
     "op3_line_dedup": op3_line_dedup,
     "op5_secret_scan": op5_secret_scan,
+    "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
 
