@@ -7,9 +7,11 @@ from tracefold.llm.chunks import op1_media_chunks
 from tracefold.llm.linededup import OP3_SQL, op3_line_dedup
 from tracefold.llm.quality import OP10_SQL, op10_quality_rules
 from tracefold.llm.secrets import OP5_SQL, op5_secret_scan
+from tracefold.llm.warc import OP2_SQL, op2_warc_normalise
 
 QUERIES = {
     "op1_media_chunks": op1_media_chunks,
+    "op2_warc_normalise": op2_warc_normalise,
     "op3_line_dedup": op3_line_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op9_byte_bpe": op9_byte_bpe,
@@ -17,6 +19,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_warc_normalise": OP2_SQL,
     "op3_line_dedup": OP3_SQL,
     "op5_secret_scan": OP5_SQL,
     "op10_quality_rules": OP10_SQL,
