@@ -5,6 +5,7 @@ from __future__ import annotations
 from tracefold.llm.bpe import op9_byte_bpe
 from tracefold.llm.chunks import op1_media_chunks
 from tracefold.llm.linededup import OP3_SQL, op3_line_dedup
+from tracefold.llm.ngramjoin import op7_ngram_jaccard
 from tracefold.llm.quality import OP10_SQL, op10_quality_rules
 from tracefold.llm.secrets import OP5_SQL, op5_secret_scan
 from tracefold.llm.warc import OP2_SQL, op2_warc_normalise
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_warc_normalise": op2_warc_normalise,
     "op3_line_dedup": op3_line_dedup,
     "op5_secret_scan": op5_secret_scan,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
