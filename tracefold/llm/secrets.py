@@ -6,7 +6,7 @@ that the ledger lacks, fetches one text per such blob (the version with the smal
 only the missing rules over it, appends both tables, and joins findings back to all paths.
 
 Shuffles: one of narrow (path, blob) rows; one of texts on the unique (path, blob) pair, which hot
-content can't skew, or none when the unscanned blobs fit the checked broadcast bound.
+content can't skew.
 
 Spans are code points, end exclusive. They follow from the pieces between the matches, because
 ``split`` and ``regexp_extract_all`` find the same leftmost matches.
@@ -139,7 +139,7 @@ def scan_versions(versions: DataFrame, ledger: BlobLedger, rules: tuple[SecretRu
         .select("blob", "owner", F.array_except(wanted, F.coalesce("done", F.array().cast("array<struct<rule:string,rule_version:string>>"))).alias("rules"))
         .filter(F.size("rules") > 0)
     )
-    picked = texts.join(maybe_broadcast(unseen.withColumnRenamed("blob", "b"), 50_000), F.col("path").eqNullSafe(F.col("owner")) & (F.col("blob") == F.col("b")))
+    picked = texts.join(unseen.withColumnRenamed("blob", "b"), F.col("path").eqNullSafe(F.col("owner")) & (F.col("blob") == F.col("b")))
     found = F.flatten(F.array(*[_found_by(r) for r in rules]))
     scanned_at = fresh_dir(spark, "blob-scan")
     scanned = picked.select("blob", "rules", found.alias("found"))
