@@ -240,7 +240,7 @@ def _share(docs: DataFrame, path: str):
 def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """``docs`` with ``ids``, the tokens of ``text`` (array of int)."""
     keep = [c for c in docs.columns if c != "ids"]
-    schema = T.StructType([docs.schema[c] for c in keep]).add("ids", "array<int>")
+    schema = T.StructType([docs.schema[c] for c in keep]).add("ids", T.ArrayType(T.IntegerType()))
     return docs.select(*keep).mapInArrow(_encode_rows(_share(docs, path), pattern, text, keep), schema)
 
 
@@ -278,7 +278,7 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text",
     keep = [c for c in docs.columns if c not in added]
     schema = T.StructType([docs.schema[c] for c in keep]).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_tokens:
-        schema = schema.add("ids", "array<int>")
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
     return docs.select(*keep).mapInArrow(_round_trip(_share(docs, path), pattern, text, keep, with_tokens), schema)
 
 
