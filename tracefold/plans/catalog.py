@@ -2,5 +2,198 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracefold.functions.labels import file_stem, node_type
+from tracefold.operators import causality, community, compress, graph, summary
+from tracefold.operators.components import connected_components, cut
+from tracefold.plans.oracles import ORACLES as ORACLES
+from tracefold.sources import audit as source
+from tracefold.sources import sinks
+
+MAX_EDGES, TOP_K = 4, 5
+AUDIT_COLUMNS = ("event_id", "ts", "proc", "object", "object2", "op", "amount")
+
+
+class Graph:
+    """The tables of one input, each built when asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
+    def audit(self) -> DataFrame:
+        return source.audit_events(self.table("events"))
+
+    def flow(self) -> DataFrame:
+        a = self.audit()
+        return graph.flow_edges(a).unionByName(source.lineage_events(a))
+
+    def merged(self) -> DataFrame:
+        return graph.merge_edges(self.flow())
+
+    def poi(self) -> DataFrame:
+        return source.point_of_interest(self.audit())
+
+    def kept(self, df: DataFrame, label: str) -> DataFrame:
+        return cut(df, label)
+
+
+class Communities(Graph):
+    """Merged edges, communities, members and community edges, each written once."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__(spark, sf_dir)
+        self.edges_all = self.kept(self.merged(), "merged")
+        self.communities = self.kept(community.lineage_communities(self.edges_all), "communities")
+        self.members = self.kept(community.membership(self.edges_all, self.communities), "members")
+
+    def edges(self) -> DataFrame:
+        return community.community_edges(self.edges_all, self.members)
+
+
+class Paths(Communities):
+    """Inputs, outputs, feasible pairs and paths of all communities."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__(spark, sf_dir)
+        self.inner = self.kept(self.edges(), "community-edges")
+        self.at = self.kept(self.poi(), "poi")
+        self.inputs = summary.infopath_inputs(self.members, self.inner, self.at)
+        self.outputs = summary.infopath_outputs(self.members, self.inner, self.at)
+
+    def pairs(self) -> DataFrame:
+        return summary.infopath_pairs(self.inputs, self.outputs)
+
+    def paths(self) -> DataFrame:
+        return summary.simple_paths(summary.edge_weights(self.inner, self.at), self.inputs, self.outputs, MAX_EDGES)
+
+    def best(self) -> DataFrame:
+        return summary.infopath_best(self.paths(), self.pairs())
+
+    def ranked(self) -> DataFrame:
+        return summary.infopath_rank(self.best())
+
+
+def _amount(df: DataFrame) -> DataFrame:
+    return df.withColumn("amount", F.round("amount", 4))
+
+
+def _text_path(df: DataFrame) -> DataFrame:
+    return df.withColumn("path", F.array_join("path", " "))
+
+
+def events_parse(g: Graph) -> DataFrame:
+    """Audit rows rendered as tab-separated log lines and parsed again."""
+    fields = [F.coalesce((F.timestamp_micros("ts") if c == "ts" else F.col(c)).cast("string"), F.lit("")) for c in AUDIT_COLUMNS]
+    events, _ = source.parse_log(g.audit().select(F.concat_ws("\t", *fields).alias("value")), "text")
+    return events.select(*AUDIT_COLUMNS)
+
+
+def star_edges(g: Graph) -> DataFrame:
+    """Region to nation to customer to order, and nation to supplier to part: a graph without cycles."""
+    name = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    parts = (
+        ("nation", "r", "n_regionkey", "n", "n_nationkey"), ("customer", "n", "c_nationkey", "c", "c_custkey"), ("orders", "c", "o_custkey", "o", "o_orderkey"),
+        ("supplier", "n", "s_nationkey", "s", "s_suppkey"), ("lineitem", "s", "l_suppkey", "p", "l_partkey"),
+    )
+    out = None
+    for table, a, x, b, y in parts:
+        rows = g.table(table).select(name(a, x).alias("src"), name(b, y).alias("dst"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def reachable(g: Graph) -> DataFrame:
+    roots = g.table("region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"))
+    return causality.reachable(star_edges(g), roots)
+
+
+def components(g: Graph) -> DataFrame:
+    net = graph.accesses(g.merged()).filter(node_type(F.col("resource")) == "n")
+    return connected_components(net, "proc", "resource")
+
+
+def votes(communities: DataFrame) -> DataFrame:
+    """Three experts' votes on every process, drawn by hash."""
+    drawn = community.portable_hash(F.lit("vote"), F.col("proc"), F.col("expert")) % 3
+    return communities.withColumn("expert", F.explode(F.array(*[F.lit(x) for x in "abc"]))).select(F.col("proc").alias("nid"), F.concat(F.lit("c"), drawn.cast("string")).alias("community"), "expert")
+
+
+def community_f1(c: Communities) -> DataFrame:
+    team = F.concat(F.lit("t"), F.floor(F.col("user_id") / 4).cast("string"))
+    truth = c.audit().select(team.alias("community"), F.col("proc").alias("nid")).distinct()
+    return community.community_f1(c.communities.withColumnRenamed("proc", "nid"), truth)
+
+
+def vectors(g: Graph) -> DataFrame:
+    return community.embed(community.random_walks(g.kept(g.merged(), "merged"))).filter(node_type(F.col("node")) == "p")
+
+
+_GRAPH: dict[str, Callable[[Graph], DataFrame]] = {
+    "poi_lookup": lambda g: g.poi(),
+    "events_parse": events_parse,
+    "flow_edges": lambda g: g.flow(),
+    "merged_edges": lambda g: _amount(g.merged()),
+    "edge_keys": lambda g: graph.edge_keys(g.merged()).select("src", "dst", "op", "key"),
+    "nodes": lambda g: graph.nodes(g.merged()),
+    "node_ids": lambda g: graph.node_ids(graph.nodes(g.merged())).select("nid", "label", "type"),
+    "file_stem": lambda g: graph.ends(g.merged()).filter(node_type(F.col("label")) == "f").select(F.col("label").alias("path"), file_stem(F.col("label")).alias("stem")),
+    "degree": lambda g: graph.degree(g.merged()),
+    "proc_lineage": lambda g: graph.lineage(g.merged()),
+    "causal_backward": lambda g: _amount(graph.merge_edges(causality.causal_edges(g.flow(), g.poi()))),
+    "reachable": reachable,
+    "leaf_nodes": lambda g: compress.leaf_nodes(g.merged()),
+    "leaf_groups": lambda g: compress.leaf_groups(g.merged()),
+    "leaf_merge": lambda g: compress.leaf_merge(g.merged()),
+    "proc_files": lambda g: compress.proc_files(g.merged()),
+    "proc_groups": lambda g: compress.proc_groups(g.kept(g.merged(), "merged")),
+    "file_groups": lambda g: compress.file_groups(g.kept(g.merged(), "merged")),
+    "collapsed_edges": lambda g: _amount(compress.collapse(m := g.kept(g.merged(), "merged"), compress.collapse_map(m))),
+    "compression_stats": lambda g: compress.compression_stats(m := g.kept(g.merged(), "merged"), g.kept(compress.collapse(m, compress.collapse_map(m)), "collapsed")),
+    "components": components,
+    "random_walks": lambda g: community.random_walks(g.merged()),
+    "label_propagation": lambda g: community.label_propagation(g.merged()),
+    "embed": vectors,
+    "soft_clusters": lambda g: community.soft_clusters(g.kept(vectors(g), "vectors")),
+    "cluster_count": lambda g: community.partition_coefficient(g.kept(vectors(g), "vectors"), (2, 3, 4)),
+}
+_COMMUNITIES: dict[str, Callable[[Communities], DataFrame]] = {
+    "lineage_communities": lambda c: c.communities,
+    "membership": lambda c: c.members,
+    "community_edges": lambda c: _amount(c.edges()),
+    "shared_nodes": lambda c: community.shared_nodes(c.members),
+    "community_stats": lambda c: community.community_stats(c.members, c.edges()),
+    "master_process": lambda c: summary.master_process(c.members, c.edges()),
+    "time_span": lambda c: summary.time_span(c.edges()),
+    "summary_edges": lambda c: summary.summary_edges(c.members, c.kept(c.edges(), "community-edges")),
+    "dot_lines": lambda c: sinks.dot_lines(c.members, c.edges()),
+    "community_f1": community_f1,
+    "majority_vote": lambda c: community.majority_vote(c.communities.withColumnRenamed("proc", "nid"), votes(c.communities)),
+    "merged_communities": lambda c: community.merge_communities(c.members),
+}
+_PATHS: dict[str, Callable[[Paths], DataFrame]] = {
+    "infopath_inputs": lambda p: p.inputs,
+    "infopath_outputs": lambda p: p.outputs,
+    "infopath_pairs": lambda p: p.pairs(),
+    "simple_paths": lambda p: _text_path(p.paths()).drop("score"),
+    "infopath_scores": lambda p: _text_path(p.paths()).select("community", "path", F.round("score", 6).alias("score")),
+    "infopath_best": lambda p: _text_path(p.best()).withColumn("score", F.round("score", 6)),
+    "infopath_rank": lambda p: _text_path(p.ranked()).select("community", "path", "rank", F.round("share", 6).alias("share")),
+    "infopath_topk": lambda p: _text_path(summary.infopath_topk(p.ranked(), TOP_K)).select("community", "path", "rank"),
+    "community_summary": lambda p: summary.community_summary(p.members, p.inner, p.kept(p.ranked(), "ranked")),
+}
+
+
+def _bound(build: type, f: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(build(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    name: _bound(build, f) for build, group in ((Graph, _GRAPH), (Communities, _COMMUNITIES), (Paths, _PATHS)) for name, f in group.items()
+}
