@@ -9,13 +9,16 @@ order gives the same result.
 The product runs over blocks of shingles (a hash partition each) and never forms all pairs of a
 column:
 
-1. Every column links its rows to one of them, its centre: a row each. Pairs outside the size bound
-   ``min >= t max`` are discarded; the others are verified on whole sets.
+1. Every column links its rows to one of them, its centre: a row each. The centre is the row whose
+   shingles are most frequent on average, as a source text's are among its edited copies.
 2. Columns whose rows now lie in one component are done. In the others rows of different components
-   are multiplied; overlap counts accumulate per pair, and pairs are discarded whose count plus the
-   larger rest of the two rows stays below ``t / (1 + t) (n + m)``, whose distances to the column's
-   centre differ by more than ``1 - t`` (the triangle inequality), or that step 1 tested. The rest
-   are verified too.
+   are multiplied, and overlap counts accumulate per pair.
+
+In both steps an entry counts only within the size-derived bounds of its pair of sizes n and m: with
+``o = ceil(t (n + m) / (1 + t))`` shingles needed in common, ``min >= t max``, and the shingle stands at
+most ``n - o`` and ``m - o`` places into its rows; a pair's first common shingle does, if they are
+linked. Step 2 also discards pairs whose distances to the column's centre differ by more than ``1 - t``
+(the triangle inequality) and pairs that step 1 tested. What is left is verified on whole sets.
 
 A link within one component can't change a component, so the groups are those of all links.
 
@@ -33,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracefold.llm.common import materialise, maybe_broadcast, small_arrow_batches, table
@@ -117,18 +120,23 @@ def _prefixes(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.frombuffer(shared.value, dtype=np.uint32)
         for batch in batches:
-            grams_out, docs_out, sizes_out = [], [], []
+            grams_out, docs_out, sizes_out, at_out, turns_out = [], [], [], [], []
             for doc_id, text, skip in zip(*(c.to_pylist() for c in batch.columns)):
                 grams = shingles(text)
                 if not len(grams) or (skip and set_digest(grams) in skip):
                     continue
-                order = np.lexsort((grams, sketch[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
+                counts = sketch[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                order = np.lexsort((grams, counts))
+                turn = -int(1e6 * np.log2(np.maximum(counts, 1)).mean())
                 chosen = grams[order[: prefix_length(len(grams))]]
                 grams_out.append(chosen.view(np.int64))
                 docs_out.append(np.full(len(chosen), doc_id, dtype=np.int64))
                 sizes_out.append(np.full(len(chosen), len(grams), dtype=np.int32))
+                at_out.append(np.arange(len(chosen), dtype=np.int32))
+                turns_out.append(np.full(len(chosen), turn, dtype=np.int32))
             if grams_out:
-                yield pa.RecordBatch.from_pydict({"gram": np.concatenate(grams_out), "doc": np.concatenate(docs_out), "n": np.concatenate(sizes_out)})
+                parts = {"gram": grams_out, "doc": docs_out, "n": sizes_out, "at": at_out, "turn": turns_out}
+                yield pa.RecordBatch.from_pydict({c: np.concatenate(x) for c, x in parts.items()})
 
     return run
 
@@ -168,6 +176,11 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialise(best, "ngram-verified")
 
 
+def _needed(n: Column, m: Column) -> Column:
+    """Shingles that sets of ``n`` and ``m`` must have in common to be linked."""
+    return F.ceil(F.lit(NUM) * (n + m) / (NUM + DEN))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     spark = docs.sparkSession
@@ -189,37 +202,38 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     copies = materialise(held.join(maybe_broadcast(classes), "digest").filter("doc_id != rep").select("doc_id", "digest", "rep").distinct(), "ngram-copies")
     skip = copies.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("digest").alias("skip"))
     known = texts.filter("doc_id IS NOT NULL")
-    prefixes = known.join(maybe_broadcast(skip), F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "skip").mapInArrow(_prefixes(shared), "gram long, doc long, n int")
+    prefixes = known.join(maybe_broadcast(skip), F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "skip").mapInArrow(_prefixes(shared), "gram long, doc long, n int, at int, turn int")
 
     # columns with two rows or more, each with its centre
     by_gram = Window.partitionBy("gram").orderBy("turn", "doc")
-    ranked = prefixes.withColumn("turn", F.xxhash64("doc")).select(
-        "gram", "doc", "n",
+    ranked = prefixes.select(
+        "gram", "doc", "n", "at",
         F.row_number().over(by_gram).alias("rank"),
         F.lead("doc").over(by_gram).alias("next"),
-        F.first(F.struct("doc", "n")).over(by_gram.rowsBetween(Window.unboundedPreceding, 0)).alias("centre"),
+        F.first(F.struct("doc", "n", "at")).over(by_gram.rowsBetween(Window.unboundedPreceding, 0)).alias("centre"),
     )
-    columns = materialise(ranked.filter("rank > 1 OR next IS NOT NULL").select("gram", "doc", "n", F.col("centre.doc").alias("centre"), F.col("centre.n").alias("cn")), "ngram-columns")
-    sized = lambda x, y: DEN * F.least(x, y) >= NUM * F.greatest(x, y)
-    first = columns.filter("doc != centre").filter(sized(F.col("n"), F.col("cn"))).select(F.col("doc").alias("a"), F.col("centre").alias("b")).distinct()
+    columns = materialise(ranked.filter("rank > 1 OR next IS NOT NULL").select("gram", "doc", "n", "at", F.col("centre.doc").alias("centre"), F.col("centre.n").alias("cn"), F.col("centre.at").alias("cat")), "ngram-columns")
+    within = lambda n, at, m, bt: (DEN * F.least(n, m) >= NUM * F.greatest(n, m)) & (at <= n - _needed(n, m)) & (bt <= m - _needed(n, m))
+    first = columns.filter("doc != centre").filter(within(F.col("n"), F.col("at"), F.col("cn"), F.col("cat"))).select(F.col("doc").alias("a"), F.col("centre").alias("b")).distinct()
     tested = verified(materialise(first, "ngram-pairs"), known)
     links = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).union(tested.filter("linked").select("a", "b"))
     found = materialise(connected_components(links, "a", "b"), "ngram-components")
 
     # columns that still span components: rows of different components meet
-    placed = columns.join(maybe_broadcast(found), F.col("doc") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "doc")).select("gram", "doc", "n", "centre", "comp")
+    placed = columns.join(maybe_broadcast(found), F.col("doc") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "doc")).select("gram", "doc", "n", "at", "centre", "comp")
     placed = materialise(placed, "ngram-placed")
     open_columns = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).filter("lo != hi AND rows > 2").select("gram")
     near = tested.select("a", "b", (1 - F.col("similarity")).alias("far"))
     left = placed.join(open_columns, "gram", "left_semi").join(near, (F.col("doc") == F.col("a")) & (F.col("centre") == F.col("b")), "left").select(
-        "gram", "doc", "n", "comp", F.when(F.col("doc") == F.col("centre"), F.lit(0.0)).otherwise(F.col("far")).alias("far"))
+        "gram", "doc", "n", "at", "comp", F.when(F.col("doc") == F.col("centre"), F.lit(0.0)).otherwise(F.col("far")).alias("far"))
     left = materialise(left, "ngram-open")
     x, y = left.alias("x"), left.alias("y")
     apart = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= (DEN - NUM) / DEN + 1e-9, F.lit(True))
-    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.comp") != F.col("y.comp")) & sized(F.col("x.n"), F.col("y.n")) & apart)
-    product = met.groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count("*").alias("overlap"))
-    rest = lambda n: F.floor(F.lit(NUM) * n / DEN)  # at least what lies behind the prefix: ceil(t n) - 1
-    possible = product.filter((NUM + DEN) * (F.col("overlap") + F.greatest(rest(F.col("na")), rest(F.col("nb")))) >= NUM * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
+    bounds = within(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"))
+    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.comp") != F.col("y.comp")) & bounds & apart)
+    product = met.groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.count("*").alias("overlap"))
+    # behind the last place within the bounds, a row has o - 1 shingles
+    possible = product.filter(F.col("overlap") + _needed(F.col("n"), F.col("m")) - 1 >= _needed(F.col("n"), F.col("m"))).select("a", "b").distinct()
     done = tested.select("a", "b").union(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
     second = materialise(possible.join(done, ["a", "b"], "left_anti"), "ngram-pairs")
     if not second.isEmpty():
