@@ -168,3 +168,33 @@ def test_written_outputs(spark, merged, tmp_path):
     ids = graph.node_ids(graph.nodes(merged))
     sinks.write_nodes(ids, str(tmp_path / "nodes"))
     assert sorted(map(tuple, sinks.read_nodes(spark, str(tmp_path / "nodes")).fillna("").collect())) == sorted(map(tuple, ids.collect()))
+
+
+def test_stream_merges_batches_and_drops_repeats(spark, tmp_path):
+    from tracefold.streaming import ingest
+
+    base = spark.sql("SELECT id AS event_id, timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, id % 5) AS ts, id % 3 AS user_id, element_at(array('view', 'purchase', 'signup', 'error'), int(id % 4) + 1) AS event_type, double(id) AS value, concat('{\"k\": ', id % 7, '}') AS props FROM range(200)").cache()
+    for k in range(2):  # two files, the second one repeats a part of the first
+        base.filter(f"event_id < {200 if k else 120}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    ingest.start_merge(ingest.events_stream(spark, str(tmp_path / "in")), out, "60 days").awaitTermination()
+    expect = graph.merge_edges(graph.flow_edges(audit.audit_events(base)))
+    assert rows(ingest.merged_so_far(spark, out)) == rows(expect)
+
+
+def test_entry_and_registry(spark):
+    import __spark_entry__ as entry
+
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert entry.entry(spark).count() > 0
+
+
+def test_summary_is_written(spark, merged, tmp_path):
+    from tracefold.plans.summarise import summarise, write_summary
+
+    flow = spark.createDataFrame([(MASTER, A, "execve", 1, 0.0), (MASTER, B, "execve", 2, 0.0), ("/in", A, "read", 3, 5.0), (A, "/mid", "write", 4, 5.0), ("/mid", B, "read", 5, 5.0), (B, "/poi", "write", 6, 5.0)], EDGE)
+    poi = spark.createDataFrame([("/poi", 6)], "node string, ts long")
+    write_summary(summarise(flow, poi), str(tmp_path / "s"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "s/communities/*")).collect()]
+    assert any('"/in"' in x for x in lines) and any("shape=box" in x for x in lines)
+    assert "sh" in " ".join(r.value for r in spark.read.text(str(tmp_path / "s/summary/*")).collect())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 
 from tracefold.functions.labels import file_stem, node_type
 from tracefold.operators import causality, community, compress, graph, summary
-from tracefold.operators.components import connected_components, cut
+from tracefold.operators.components import checkpoint_dir, connected_components, cut
 from tracefold.plans.oracles import ORACLES as ORACLES
 from tracefold.sources import audit as source
 from tracefold.sources import sinks
+from tracefold.streaming import ingest
 
 MAX_EDGES, TOP_K = 4, 5
 AUDIT_COLUMNS = ("event_id", "ts", "proc", "object", "object2", "op", "amount")
@@ -114,6 +116,13 @@ def reachable(g: Graph) -> DataFrame:
     return causality.reachable(star_edges(g), roots)
 
 
+def stream_merged_edges(g: Graph) -> DataFrame:
+    """The events table as a stream, merged batch by batch, without lineage."""
+    path = f"{checkpoint_dir(g.spark)}/stream-{uuid.uuid4().hex}"
+    ingest.start_merge(ingest.events_stream(g.spark, f"{g.dir}/events.parquet"), path, lateness="60 days").awaitTermination()
+    return ingest.merged_so_far(g.spark, path)
+
+
 def components(g: Graph) -> DataFrame:
     net = graph.accesses(g.merged()).filter(node_type(F.col("resource")) == "n")
     return connected_components(net, "proc", "resource")
@@ -157,6 +166,7 @@ _GRAPH: dict[str, Callable[[Graph], DataFrame]] = {
     "collapsed_edges": lambda g: _amount(compress.collapse(m := g.kept(g.merged(), "merged"), compress.collapse_map(m))),
     "compression_stats": lambda g: compress.compression_stats(m := g.kept(g.merged(), "merged"), g.kept(compress.collapse(m, compress.collapse_map(m)), "collapsed")),
     "components": components,
+    "stream_merged_edges": lambda g: _amount(stream_merged_edges(g)),
     "random_walks": lambda g: community.random_walks(g.merged()),
     "label_propagation": lambda g: community.label_propagation(g.merged()),
     "embed": vectors,

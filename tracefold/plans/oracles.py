@@ -99,6 +99,7 @@ ORACLES = {
     "events_parse": w(AUDIT, "SELECT event_id, ts, proc, object, object2, op, amount FROM audit"),
     "flow_edges": w(FLOW, "SELECT src, dst, op, ts, amount FROM edges"),
     "merged_edges": w(MERGED, f"SELECT {EDGE} FROM merged"),
+    "stream_merged_edges": w(FLOW, "SELECT src, dst, op, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n, round(sum(amount), 4) AS amount FROM flow GROUP BY src, dst, op"),
     "edge_keys": w(MERGED, "SELECT src, dst, op, row_number() OVER (PARTITION BY src, dst ORDER BY op) - 1 AS key FROM merged"),
     "nodes": w(MERGED, f"""SELECT label, CASE WHEN t = 'p' THEN regexp_extract(label, '^(.*)\\([0-9]+\\)$', 1) WHEN t = 'n' THEN regexp_extract(label, '^(.*):[0-9]+->', 1) ELSE '' END AS attr1,
         CASE WHEN t = 'p' THEN regexp_extract(label, '\\(([0-9]+)\\)$', 1) WHEN t = 'n' THEN regexp_extract(label, '->(.*):[0-9]+$', 1) ELSE regexp_replace(label, '\\.[^./]*$', '') END AS attr2, t AS type
