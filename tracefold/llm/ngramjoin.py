@@ -17,8 +17,7 @@ column:
 In both steps an entry counts only within the size-derived bounds of its pair of sizes n and m: with
 ``o = ceil(t (n + m) / (1 + t))`` shingles needed in common, ``min >= t max``, and the shingle stands at
 most ``n - o`` and ``m - o`` places into its rows; a pair's first common shingle does, if they are
-linked. Step 2 also discards pairs whose distances to the column's centre differ by more than ``1 - t``
-(the triangle inequality) and pairs that step 1 tested. What is left is verified on whole sets.
+linked. Step 2 also leaves out pairs that step 1 tested. What is left is verified on whole sets.
 
 A link within one component can't change a component, so the groups are those of all links.
 
@@ -127,7 +126,7 @@ def _prefixes(shared):
                     continue
                 counts = sketch[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 order = np.lexsort((grams, counts))
-                turn = -int(1e6 * np.log2(np.maximum(counts, 1)).mean())
+                turn = -int(32 * np.log2(np.maximum(counts, 1)).mean())  # coarse: fewer bytes to shuffle
                 chosen = grams[order[: prefix_length(len(grams))]]
                 grams_out.append(chosen.view(np.int64))
                 docs_out.append(np.full(len(chosen), doc_id, dtype=np.int64))
@@ -162,11 +161,10 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Similarity of (a, b) pairs on whole sets. A centre b meets its partners in salted groups."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    needed = texts.join(maybe_broadcast(ids), F.col("doc_id") == F.col("id"), "left_semi")
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
-    partners = salted.join(needed, F.col("a") == F.col("doc_id")).select("b", "salt", "a", "text")
-    centres = salted.select("b", "salt").distinct().join(needed, F.col("b") == F.col("doc_id")).select("b", "salt", F.lit(None).cast("long").alias("a"), "text")
+    groups = salted.select("b", "salt").distinct()
+    partners = texts.join(maybe_broadcast(salted), F.col("a") == F.col("doc_id")).select("b", "salt", "a", "text")
+    centres = texts.join(maybe_broadcast(groups), F.col("b") == F.col("doc_id")).select("b", "salt", F.lit(None).cast("long").alias("a"), "text")
     rows = centres.unionByName(partners).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
     counted = rows.mapInArrow(_overlaps, "a long, b long, overlap long, na long, nb long")
     best = counted.groupBy("a", "b").agg(
@@ -212,7 +210,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.lead("doc").over(by_gram).alias("next"),
         F.first(F.struct("doc", "n", "at")).over(by_gram.rowsBetween(Window.unboundedPreceding, 0)).alias("centre"),
     )
-    columns = materialise(ranked.filter("rank > 1 OR next IS NOT NULL").select("gram", "doc", "n", "at", F.col("centre.doc").alias("centre"), F.col("centre.n").alias("cn"), F.col("centre.at").alias("cat")), "ngram-columns")
+    columns = materialise(ranked.filter("rank > 1 OR next IS NOT NULL").select("gram", "doc", "n", "at", F.col("centre.doc").alias("centre"), F.col("centre.n").alias("cn"), F.col("centre.at").alias("cat"), ((F.col("rank") <= 2) & F.col("next").isNull()).alias("pair")), "ngram-columns")
     within = lambda n, at, m, bt: (DEN * F.least(n, m) >= NUM * F.greatest(n, m)) & (at <= n - _needed(n, m)) & (bt <= m - _needed(n, m))
     first = columns.filter("doc != centre").filter(within(F.col("n"), F.col("at"), F.col("cn"), F.col("cat"))).select(F.col("doc").alias("a"), F.col("centre").alias("b")).distinct()
     tested = verified(materialise(first, "ngram-pairs"), known)
@@ -220,17 +218,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     found = materialise(connected_components(links, "a", "b"), "ngram-components")
 
     # columns that still span components: rows of different components meet
-    placed = columns.join(maybe_broadcast(found), F.col("doc") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "doc")).select("gram", "doc", "n", "at", "centre", "comp")
-    placed = materialise(placed, "ngram-placed")
-    open_columns = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).filter("lo != hi AND rows > 2").select("gram")
-    near = tested.select("a", "b", (1 - F.col("similarity")).alias("far"))
-    left = placed.join(open_columns, "gram", "left_semi").join(near, (F.col("doc") == F.col("a")) & (F.col("centre") == F.col("b")), "left").select(
-        "gram", "doc", "n", "at", "comp", F.when(F.col("doc") == F.col("centre"), F.lit(0.0)).otherwise(F.col("far")).alias("far"))
-    left = materialise(left, "ngram-open")
+    place = lambda df, c, name: df.join(maybe_broadcast(found.select(F.col("node").alias(f"__{c}"), F.col("component").alias(name))), F.col(c) == F.col(f"__{c}"), "left").drop(f"__{c}").withColumn(name, F.coalesce(name, c))
+    # of a column of two, the one pair is tested or out of bounds
+    spread = place(place(columns.filter("doc != centre AND NOT pair"), "doc", "comp"), "centre", "ccomp")
+    open_columns = materialise(spread.filter("comp != ccomp").select("gram").distinct(), "ngram-open-columns")
+    left = materialise(place(columns.join(maybe_broadcast(open_columns), "gram", "left_semi").select("gram", "doc", "n", "at"), "doc", "comp"), "ngram-open")
     x, y = left.alias("x"), left.alias("y")
-    apart = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= (DEN - NUM) / DEN + 1e-9, F.lit(True))
     bounds = within(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"))
-    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.comp") != F.col("y.comp")) & bounds & apart)
+    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.comp") != F.col("y.comp")) & bounds)
     product = met.groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.count("*").alias("overlap"))
     # behind the last place within the bounds, a row has o - 1 shingles
     possible = product.filter(F.col("overlap") + _needed(F.col("n"), F.col("m")) - 1 >= _needed(F.col("n"), F.col("m"))).select("a", "b").distinct()
