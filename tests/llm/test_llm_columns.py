@@ -261,3 +261,12 @@ def test_quality_matches_brute_force(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute_quality(r.text), r.text
         assert not (r.base_failed and r.kept) and r.kept == (not r.failed_rules)
     assert quality.quality_rules(docs(spark, texts).filter("false")).count() == 0
+
+
+def test_pii_is_linear_in_long_runs():
+    import time
+
+    began = time.time()
+    for text in ("9" * 200_000, "x" * 200_000 + " 1", "1." * 100_000, "a" * 200_000 + "@", "+1" + "(" * 200_000):
+        pii.identifiers(text, pii.base_spans(text))
+    assert time.time() - began < 10

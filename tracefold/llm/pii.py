@@ -33,11 +33,12 @@ CONTEXT_CHARS = 96
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+# from the start of a run of digits only and without giving digits back: linear, with the same matches
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SOME_DIGIT = re.compile(r"[0-9]")
-_IDENTIFIER = re.compile(r"[^\s]*[0-9@_][^\s]*")
+_TOKEN, _MARK = re.compile(r"\S+"), re.compile(r"[0-9@_]")
 
 
 def luhn(digits: str) -> bool:
@@ -94,12 +95,14 @@ def contexts(text: str, start: int) -> list[str]:
 
 def identifiers(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Identifier-like tokens that overlap no base span, without quotes and punctuation around them."""
-    if not (_SOME_DIGIT.search(text) or "@" in text or "_" in text):
+    if not _MARK.search(text):
         return []
     out, k = [], 0
     ends = sorted((s, e) for s, _, e in taken)
-    for m in _IDENTIFIER.finditer(text):
+    for m in _TOKEN.finditer(text):
         token = m.group()
+        if not _MARK.search(token):
+            continue
         start = m.start() + len(token) - len(token.lstrip("\"'([{<,;:=."))
         end = m.end() - (len(token) - len(token.rstrip("\"')]}>,;:=.!?")))
         if end - start < 4:
