@@ -110,47 +110,63 @@ def metrics(text: Column) -> Column:
     )
 
 
-def ratios() -> dict[str, Column]:
-    n = F.greatest(F.col("n_words"), F.lit(1))
+def _count(m: Column, name: str) -> Column:
+    return m["n_symbols"] if name == "n_symbols" else m["l" if name in ("n_lines", "n_dup_lines") else "w"][name]
+
+
+def ratios(m: Column) -> dict[str, Column]:
+    """The metrics that rules refer to, of a struct made by ``metrics``."""
+    n = F.greatest(_count(m, "n_words"), F.lit(1))
     return {
-        "n_words": F.col("n_words"),
-        "repeat_ratio": F.col("n_repeat_words") / n,
-        "mean_word_chars": F.col("word_chars") / n,
-        "symbol_ratio": F.col("n_symbols") / n,
-        "stop_ratio": F.col("n_stop_words") / n,
-        "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
+        "n_words": _count(m, "n_words"),
+        "repeat_ratio": _count(m, "n_repeat_words") / n,
+        "mean_word_chars": _count(m, "word_chars") / n,
+        "symbol_ratio": _count(m, "n_symbols") / n,
+        "stop_ratio": _count(m, "n_stop_words") / n,
+        "dup_line_ratio": _count(m, "n_dup_lines") / F.greatest(_count(m, "n_lines"), F.lit(1)),
     }
 
 
-def passes(rule: Rule) -> Column:
+def passes(rule: Rule, m: Column) -> Column:
     if rule.name == "repetition":  # in whole numbers, exactly as the base rule is stated
-        ok = 100 * F.col("n_repeat_words") <= 20 * F.col("n_words")
+        ok = 100 * _count(m, "n_repeat_words") <= 20 * _count(m, "n_words")
     else:
-        metric = ratios()[rule.metric]
+        metric = ratios(m)[rule.metric]
         ok = F.lit(True)
         if rule.low is not None:
             ok = ok & (metric >= F.lit(rule.low))
         if rule.high is not None:
             ok = ok & (metric <= F.lit(rule.high))
-    return ok | (F.col("n_words") < rule.from_words)
+    return ok | (_count(m, "n_words") < rule.from_words)
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_lines")
 
 
+def verdict(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """One struct of counts, ``base_failed`` and ``failed_rules``.
+
+    The counts are bound once inside the expression, so that a filter on the verdict, which the
+    optimizer moves below the projection, doesn't count again for every rule.
+    """
+
+    def judged(m: Column) -> Column:
+        failed = F.filter(F.array(*[F.when(~passes(r, m), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
+        base = F.lit(False)
+        for r in rules:
+            if r.name in BASE_RULES:
+                base = base | ~passes(r, m)
+        return F.struct(*[_count(m, c).alias(c) for c in COUNTS], base.alias("base_failed"), failed.alias("failed_rules"))
+
+    return let(metrics(text), judged)
+
+
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """``docs`` with the counts, ``failed_rules``, ``base_failed`` and ``kept`` beside its own columns."""
     own = (*COUNTS, "base_failed", "failed_rules", "kept")
-    counted = docs.select(*[docs[c] for c in docs.columns if c not in own], metrics(text_or_empty(text)).alias("__m")).select(
-        *[c for c in docs.columns if c not in own],
-        *[F.col(f"__m.{'l' if c in ('n_dup_lines', 'n_lines') else 'w'}.{c}" if c != "n_symbols" else "__m.n_symbols").alias(c) for c in COUNTS],
-    )
-    failed = F.filter(F.array(*[F.when(~passes(r), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
-    base = F.lit(False)
-    for r in rules:
-        if r.name in BASE_RULES:
-            base = base | ~passes(r)
-    return counted.select("*", base.alias("base_failed"), failed.alias("failed_rules")).withColumn("kept", F.size("failed_rules") == 0)
+    rest = [c for c in docs.columns if c not in own]
+    judged = docs.select(*[docs[c] for c in rest], verdict(text_or_empty(text), rules).alias("__q"))
+    return judged.select(*rest, *[F.col(f"__q.{c}").alias(c) for c in own[:-1]], (F.size("__q.failed_rules") == 0).alias("kept"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
