@@ -5,10 +5,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefold.functions.labels import executable, node_type, span_text
+from tracefold.operators.components import checkpoint_dir, cut
 
 HOUR_US = 3_600_000_000
 
@@ -65,22 +68,32 @@ def edge_weights(edges: DataFrame, poi: DataFrame) -> DataFrame:
     return weighed.groupBy("community", "src", "dst").agg(F.max(F.log1p("amount") / (1 + hours)).alias("w"))
 
 
-def simple_paths(weights: DataFrame, inputs: DataFrame, outputs: DataFrame, max_edges: int) -> DataFrame:
-    """(community, input, output, path, hops, score) of all simple paths of at most ``max_edges`` edges.
+def simple_paths(weights: DataFrame, inputs: DataFrame, outputs: DataFrame, max_edges: int | None = None) -> DataFrame:
+    """(community, input, output, path, hops, score) of all simple paths, or of those of at most ``max_edges`` edges.
 
     The score adds edge weights, and at every junction the product of the two weights that meet.
-    Paths grow by a join on (community, node); only those that end in an output are kept.
+    Paths grow by a join on (community, node) until none can be extended, which ends by itself as no
+    node repeats; only those that end in an output are kept. Edges know whether they lead to an output
+    and all lengths are read back in one scan, so that the plan doesn't grow with the longest path.
     """
-    e = weights.select("community", F.col("src").alias("at"), F.col("dst").alias("to"), "w")
-    start = inputs.select("community", F.col("nid").alias("input"), F.col("nid").alias("at")).withColumn("path", F.array("at")).withColumn("score", F.lit(0.0)).withColumn("last_w", F.lit(0.0))
-    out, now = None, start
-    for hop in range(1, max_edges + 1):
+    spark, base = weights.sparkSession, f"{checkpoint_dir(weights.sparkSession)}/paths-{uuid.uuid4().hex}"
+    ends = outputs.select("community", F.col("nid").alias("to")).distinct().withColumn("ends", F.lit(True))
+    e = cut(weights.withColumnRenamed("dst", "to").join(ends, ["community", "to"], "left").select("community", F.col("src").alias("at"), "to", "w", F.coalesce("ends", F.lit(False)).alias("ends")), "path-edges")
+    now = inputs.select("community", F.col("nid").alias("input"), F.col("nid").alias("at")).withColumn("path", F.array("at")).withColumn("score", F.lit(0.0)).withColumn("last_w", F.lit(0.0))
+    written: list[str] = []
+    while max_edges is None or len(written) < max_edges:
         step = now.join(e, ["community", "at"]).filter(~F.array_contains("path", F.col("to")))
-        now = step.select("community", "input", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"), (F.col("score") + F.col("w") + F.col("last_w") * F.col("w")).alias("score"), F.col("w").alias("last_w"))
-        found = now.withColumn("hops", F.lit(hop))
-        out = found if out is None else out.unionByName(found)
-    ends = outputs.select("community", F.col("nid").alias("at"))
-    return out.join(ends, ["community", "at"], "left_semi").select("community", "input", F.col("at").alias("output"), "path", "hops", "score")
+        grown = step.select(
+            "community", "input", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"), (F.col("score") + F.col("w") + F.col("last_w") * F.col("w")).alias("score"),
+            F.col("w").alias("last_w"), "ends", F.lit(len(written) + 1).alias("hops"),
+        )
+        written.append(f"{base}/{len(written) + 1}")
+        grown.write.parquet(written[-1])
+        found = spark.read.schema(grown.schema).parquet(written[-1])
+        if found.isEmpty():
+            break
+        now = found.drop("ends", "hops")
+    return spark.read.schema(grown.schema).parquet(*written).filter("ends").select("community", "input", F.col("at").alias("output"), "path", "hops", "score")
 
 
 def infopath_best(paths: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from tracefold.sources import audit as source
 from tracefold.sources import sinks
 from tracefold.streaming import ingest
 
-MAX_EDGES, TOP_K = 4, 5
+TOP_K = 5
 AUDIT_COLUMNS = ("event_id", "ts", "proc", "object", "object2", "op", "amount")
 
 
@@ -73,7 +73,7 @@ class Paths(Communities):
         return summary.infopath_pairs(self.inputs, self.outputs)
 
     def paths(self) -> DataFrame:
-        return summary.simple_paths(summary.edge_weights(self.inner, self.at), self.inputs, self.outputs, MAX_EDGES)
+        return summary.simple_paths(summary.edge_weights(self.inner, self.at), self.inputs, self.outputs)
 
     def best(self) -> DataFrame:
         return summary.infopath_best(self.paths(), self.pairs())

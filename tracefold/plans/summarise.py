@@ -10,8 +10,6 @@ from tracefold.operators import causality, community, compress, graph, summary
 from tracefold.operators.components import cut
 from tracefold.sources import sinks
 
-MAX_EDGES = 4
-
 
 @dataclass(frozen=True)
 class Summary:
@@ -24,7 +22,7 @@ class Summary:
     communities: DataFrame
 
 
-def summarise(flow: DataFrame, poi: DataFrame, max_edges: int = MAX_EDGES) -> Summary:
+def summarise(flow: DataFrame, poi: DataFrame, max_edges: int | None = None) -> Summary:
     """``flow``: (src, dst, op, ts, amount); ``poi``: one row (node, ts)."""
     merged = cut(graph.merge_edges(causality.causal_edges(flow, poi)), "merged")
     procs = cut(community.lineage_communities(merged), "communities")
