@@ -68,3 +68,18 @@ def test_summary_follows_long_paths(spark):
     flow = [("sh(1)", x, "execve", k, 0.0) for k, x in enumerate((a, b, c))] + [(s, d, "write", 10 + k, 5.0) for k, (s, d) in enumerate(zip(chain, chain[1:], strict=False))]
     result = summarise(spark.createDataFrame(flow, "src string, dst string, op string, ts long, amount double"), spark.createDataFrame([("/poi", 15)], "node string, ts long"))
     assert [r.path for r in result.ranked.collect()] == [chain]
+
+
+def test_registered_components_take_every_edge(spark):
+    edges = catalog.Graph(spark, SMALL).merged().select("src", "dst").collect()
+    least = {x: x for e in edges for x in e}
+
+    def root(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for src, dst in edges:
+        a, b = sorted((root(src), root(dst)))
+        least[b] = a
+    assert rows(catalog.QUERIES["components"](spark, SMALL)) == sorted((x, root(x)) for x in least)

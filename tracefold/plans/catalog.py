@@ -124,8 +124,7 @@ def stream_merged_edges(g: Graph) -> DataFrame:
 
 
 def components(g: Graph) -> DataFrame:
-    net = graph.accesses(g.merged()).filter(node_type(F.col("resource")) == "n")
-    return connected_components(net, "proc", "resource")
+    return connected_components(g.kept(g.merged().select("src", "dst"), "merged"))
 
 
 def votes(communities: DataFrame) -> DataFrame:
