@@ -1,7 +1,8 @@
 """Registered queries against brute force over the whole graph of a small input."""
 
+import hashlib
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 
 from tracefold.plans import catalog
@@ -83,3 +84,31 @@ def test_registered_components_take_every_edge(spark):
         a, b = sorted((root(src), root(dst)))
         least[b] = a
     assert rows(catalog.QUERIES["components"](spark, SMALL)) == sorted((x, root(x)) for x in least)
+
+
+def test_label_propagation_ends_where_no_label_changes(spark):
+    from tracefold.operators import community
+
+    clique = lambda prefix, n: [(f"{prefix}{i}", f"{prefix}{j}") for i in range(n) for j in range(i)]
+    edges = [("a0", "b0"), ("x", "y"), *clique("a", 4), *clique("b", 5)] + [(f"u{k}(1)", f"/f{k // 2}") for k in range(6)] + [(f"u{k}(1)", "/dev/null") for k in range(6)]
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    label, step = {x: x for x in near}, 0
+    while True:
+        wanted = {}
+        for x in near:
+            n = Counter(label[y] for y in near[x])
+            if n[label[x]] < max(n.values()):
+                wanted[x] = min(c for c in n if n[c] == max(n.values()))
+        if not wanted:
+            break
+        turn = {x: (x.endswith(")") == (step % 2 == 0), int(hashlib.md5(f"turn|{step}|{x}".encode()).hexdigest()[:8], 16), x) for x in wanted}
+        label |= {x: c for x, c in wanted.items() if all(turn[y] < turn[x] for y in near[x] if y in turn)}
+        step += 1
+    got = dict(rows(community.label_propagation(spark.createDataFrame(edges, "src string, dst string"))))
+    for x in near:  # no other label is more frequent around it
+        n = Counter(got[y] for y in near[x])
+        assert n[got[x]] == max(n.values())
+    assert got == label and len({got[f"a{k}"] for k in range(4)}) == 1 and got["x"] == got["y"]

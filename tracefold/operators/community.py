@@ -163,16 +163,25 @@ def majority_vote(original: DataFrame, votes: DataFrame, least: int = 2) -> Data
     return both.select("nid", F.coalesce("voted", "community").alias("community"), (F.coalesce("voted", "community") != F.col("community")).alias("changed"))
 
 
-def label_propagation(merged: DataFrame, rounds: int = 3) -> DataFrame:
-    """(node, label): a modularity-style baseline. Every node takes the label most of its neighbours
-    carry, the smallest of equals, all at once, for a fixed number of rounds.
+def label_propagation(merged: DataFrame) -> DataFrame:
+    """(node, label): a modularity-style baseline. Nodes take the label most of their neighbours carry,
+    the smallest of equals, until none wants another one; a label that is among the most frequent stays.
 
+    Of neighbours that want to change in the same round only one does: processes and resources take
+    turns, then a hash decides. So each change makes more pairs of neighbours agree, and the rounds end.
     Labels are counted per (node, label) before any ranking, so a hub ranks labels, not neighbours.
     """
     pairs = cut(merged.select(F.col("src").alias("node"), F.col("dst").alias("next")).union(merged.select("dst", "src")).filter("node != next").distinct(), "neighbours")
-    now = pairs.select("node").distinct().withColumn("label", F.col("node"))
-    for _ in range(rounds):
+    now, step = cut(pairs.select("node").distinct().withColumn("label", F.col("node")), "labels"), 0
+    while True:
         seen = pairs.join(now.select(F.col("node").alias("next"), "label"), "next").groupBy("node", "label").agg(F.count("*").alias("n"))
-        best = seen.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("b"))
-        now = cut(best.select("node", F.col("b.label").alias("label")), "labels")
-    return now
+        own = F.coalesce(F.max(F.when(F.col("label") == F.col("own"), F.col("n"))), F.lit(0)).alias("kept")
+        best = seen.join(now.select("node", F.col("label").alias("own")), "node").groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("b"), own)
+        turn = F.struct(((node_type(F.col("node")) == "p") == F.lit(step % 2 == 0)).alias("first"), portable_hash(F.lit("turn"), F.lit(str(step)), F.col("node")).alias("hash"), "node")
+        wanted = cut(best.filter(-F.col("b.n") > F.col("kept")).select("node", F.col("b.label").alias("new"), turn.alias("turn")), "wanted")
+        if wanted.isEmpty():
+            return now
+        rivals = pairs.join(wanted.select("node", "turn"), "node").join(wanted.select(F.col("node").alias("next"), F.col("turn").alias("other")), "next")
+        moved = wanted.join(rivals.filter("other > turn").select("node").distinct(), "node", "left_anti").select("node", "new")
+        now = cut(now.join(moved, "node", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
+        step += 1
