@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracefold.operators.components import cut
+from tracefold.storage import cut, cut_with, release
 
 
-def backward_bounds(edges: DataFrame, poi: DataFrame, max_rounds: int = 200) -> DataFrame:
+def backward_bounds(edges: DataFrame, poi: DataFrame) -> DataFrame:
     """(node, bound): the latest time at which the node could still influence the point of interest.
 
     ``bound(poi) = its time``; an event u -> v at or before ``bound(v)`` raises ``bound(u)`` to its
     time. Only nodes whose bound rose take part in the next round, and events later than the point of
-    interest never do. The fixpoint doesn't depend on the order of rounds.
+    interest never do. Rounds go on until no bound rises, which ends as bounds are event times; the
+    fixpoint doesn't depend on their order.
     """
     latest = poi.agg(F.max("ts")).first()[0]
     if latest is None:
@@ -21,14 +22,15 @@ def backward_bounds(edges: DataFrame, poi: DataFrame, max_rounds: int = 200) ->
     usable = cut(edges.filter(F.col("ts") <= latest).select("src", "dst", "ts").distinct(), "usable")
     bounds = cut(poi.groupBy("node").agg(F.max("ts").alias("bound")), "bounds")
     frontier = bounds
-    for _ in range(max_rounds):
+    while True:
         raised = usable.join(frontier, usable.dst == frontier.node).filter("ts <= bound").groupBy(F.col("src").alias("node")).agg(F.max("ts").alias("new"))
         moved = raised.join(bounds, "node", "left").filter("bound IS NULL OR new > bound").select("node", F.col("new").alias("bound"))
-        frontier = cut(moved, "frontier")
-        if frontier.isEmpty():
+        frontier, seen = cut_with(moved, "frontier", n=F.count("*"))
+        if not seen["n"]:
             return bounds
+        last = bounds
         bounds = cut(bounds.unionByName(frontier).groupBy("node").agg(F.max("bound").alias("bound")), "bounds")
-    raise RuntimeError(f"the causal history did not settle in {max_rounds} rounds")
+        release(last)
 
 
 def causal_edges(edges: DataFrame, poi: DataFrame) -> DataFrame:
@@ -38,15 +40,17 @@ def causal_edges(edges: DataFrame, poi: DataFrame) -> DataFrame:
     return edges.join(bounds, edges.dst == bounds.node).filter("ts <= bound").select(*edges.columns)
 
 
-def reachable(edges: DataFrame, roots: DataFrame, max_rounds: int = 200) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node, hops): nodes reachable from each root and the fewest hops; the root itself is 0."""
     pairs = cut(edges.select("src", "dst").distinct(), "pairs")
     found = cut(roots.select(F.col("node").alias("root"), F.col("node")).distinct().withColumn("hops", F.lit(0)), "reach")
-    frontier = found
-    for hop in range(1, max_rounds + 1):
+    frontier, hop = found, 0
+    while True:
+        hop += 1
         step = frontier.join(pairs, frontier.node == pairs.src).select("root", F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(found, ["root", "node"], "left_anti").withColumn("hops", F.lit(hop)), "reach")
-        if frontier.isEmpty():
+        frontier, seen = cut_with(step.join(found, ["root", "node"], "left_anti").withColumn("hops", F.lit(hop)), "reach", n=F.count("*"))
+        if not seen["n"]:
             return found
-        found = found.unionByName(frontier)
-    raise RuntimeError(f"reachability did not settle in {max_rounds} rounds")
+        last = found
+        found = cut(found.unionByName(frontier), "reach")
+        release(last)

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefold.functions.labels import node_type
-from tracefold.operators.components import connected_components, cut
+from tracefold.operators.components import connected_components
+from tracefold.storage import cut
 from tracefold.operators.graph import accesses, induced, lineage
 
 

@@ -2,62 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracefold.storage import cut, cut_with, release
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only a local master gets a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_shared_dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="tracefold-")
-        spark._shared_dir = root
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/") if "://" in root else "file://" + root.rstrip("/")
-
-
-def cut(df: DataFrame, label: str = "step") -> DataFrame:
-    """Write to the shared folder and read back: lineage ends here and survives lost executors."""
-    path = f"{checkpoint_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component): the smallest node reachable over undirected ``edges``.
 
-    Alternates large-star and small-star steps: every node links its larger neighbours, then its
-    smaller ones, to the smallest node it sees. Each step costs a row per edge at most and the rounds
-    grow with the logarithm of the longest path. Minima are combined before the shuffle, and edges
-    join them by node, so that a hub's edges can be split by skewed-join handling.
-    Null ends are ignored; loops give a component of one node.
+    Alternates large-star and small-star steps until no edge changes: every node links its larger
+    neighbours, then its smaller ones, to the smallest node it sees. Each step costs a row per edge at
+    most and the rounds grow with the logarithm of the longest path. Minima are combined before the
+    shuffle, and edges join them by node, so that a hub's edges can be split by skewed-join handling.
+    Whether a round changed anything shows in a count and a hash sum taken while it is written.
+    Null ends are ignored; loops give a component of one node; no edges, no rows.
     """
     all_edges = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
-    nodes = all_edges.select(F.col("a").alias("node")).union(all_edges.select("b")).distinct()
-    now = cut(all_edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
-    total = _fingerprint(now)
-    for _ in range(max_rounds):
+    nodes = cut(all_edges.select(F.col("a").alias("node")).union(all_edges.select("b")).distinct(), "cc-nodes")
+    marks = {"n": F.count("*"), "s": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))}
+    now, total = cut_with(all_edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc", **marks)
+    while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         lowest = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(lowest, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        now = cut(small.filter("a != b").distinct(), "cc")
-        before, total = total, _fingerprint(now)
+        before, last = total, now
+        now, total = cut_with(small.filter("a != b").distinct(), "cc", **marks)
+        release(last)
         if before == total:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.join(now.select(F.col("a").alias("node"), F.col("b").alias("m")), "node", "left").select("node", F.coalesce("m", "node").alias("component"))
-
-
-def _fingerprint(edges: DataFrame) -> tuple:
-    """Row count and an order-free hash sum: equal only if the edge set did not change."""
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-    return row.n, row.s

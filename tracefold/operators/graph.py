@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefold.functions.labels import BETWEEN_PROCESSES, BOTH_WAYS, FROM_PROCESS, INTO_PROCESS, attribute_1, attribute_2, node_type
-from tracefold.operators.components import cut
+from tracefold.storage import cut
 
 
 def flow_edges(audit: DataFrame) -> DataFrame:

@@ -5,13 +5,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefold.functions.labels import executable, node_type, span_text
-from tracefold.operators.components import checkpoint_dir, cut
+from tracefold.storage import cut, cut_with
 
 HOUR_US = 3_600_000_000
 
@@ -76,7 +74,7 @@ def simple_paths(weights: DataFrame, inputs: DataFrame, outputs: DataFrame, max_
     node repeats; only those that end in an output are kept. Edges know whether they lead to an output
     and all lengths are read back in one scan, so that the plan doesn't grow with the longest path.
     """
-    spark, base = weights.sparkSession, f"{checkpoint_dir(weights.sparkSession)}/paths-{uuid.uuid4().hex}"
+    spark = weights.sparkSession
     ends = outputs.select("community", F.col("nid").alias("to")).distinct().withColumn("ends", F.lit(True))
     e = cut(weights.withColumnRenamed("dst", "to").join(ends, ["community", "to"], "left").select("community", F.col("src").alias("at"), "to", "w", F.coalesce("ends", F.lit(False)).alias("ends")), "path-edges")
     now = inputs.select("community", F.col("nid").alias("input"), F.col("nid").alias("at")).withColumn("path", F.array("at")).withColumn("score", F.lit(0.0)).withColumn("last_w", F.lit(0.0))
@@ -87,10 +85,9 @@ def simple_paths(weights: DataFrame, inputs: DataFrame, outputs: DataFrame, max_
             "community", "input", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"), (F.col("score") + F.col("w") + F.col("last_w") * F.col("w")).alias("score"),
             F.col("w").alias("last_w"), "ends", F.lit(len(written) + 1).alias("hops"),
         )
-        written.append(f"{base}/{len(written) + 1}")
-        grown.write.parquet(written[-1])
-        found = spark.read.schema(grown.schema).parquet(written[-1])
-        if found.isEmpty():
+        found, seen = cut_with(grown, "paths", n=F.count("*"))
+        written.append(found._cut_at)
+        if not seen["n"]:
             break
         now = found.drop("ends", "hops")
     return spark.read.schema(grown.schema).parquet(*written).filter("ends").select("community", "input", F.col("at").alias("output"), "path", "hops", "score")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tracefold.functions.labels import file_stem, node_type
 from tracefold.operators import causality, community, compress, graph, summary
-from tracefold.operators.components import checkpoint_dir, connected_components, cut
+from tracefold.operators.components import connected_components
+from tracefold.storage import cut, fresh_dir
 from tracefold.plans.oracles import ORACLES as ORACLES
 from tracefold.sources import audit as source
 from tracefold.sources import sinks
@@ -118,7 +118,7 @@ def reachable(g: Graph) -> DataFrame:
 
 def stream_merged_edges(g: Graph) -> DataFrame:
     """The events table as a stream, merged batch by batch, without lineage."""
-    path = f"{checkpoint_dir(g.spark)}/stream-{uuid.uuid4().hex}"
+    path = fresh_dir(g.spark, "stream")
     ingest.start_merge(ingest.events_stream(g.spark, f"{g.dir}/events.parquet"), path, lateness="60 days").awaitTermination()
     return ingest.merged_so_far(g.spark, path)
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from tracefold.operators import causality, community, compress, graph, summary
-from tracefold.operators.components import cut
+from tracefold.storage import cut
 from tracefold.sources import sinks
 
 
