@@ -7,11 +7,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tracefold.llm import bpe, chunks, pii, quality, secrets, warc
-from tracefold.llm.common import fresh_dir
+from tracefold.llm import bloom, bpe, chunks, pii, quality, secrets, warc
+from tracefold.llm.common import fresh_dir, pieces
 
 LONG = "lorem ipsum dolor " * 3000 + "\n" + "x" * 5000
 TEXTS = [
@@ -43,10 +44,11 @@ def test_chunks_round_trip(spark):
         for r in got[k]:
             assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
     assert len(got[5]) == 2 and got[5][0].media_sha256 == got[6][0].media_sha256 and got[5][0].feature == got[6][0].feature
-    stored = spark.read.schema(chunks.STORE).parquet(path).filter("doc_id IS NOT NULL AND doc_id != 5").select(F.explode("own").alias("b")).filter("b IS NOT NULL")
+    rows = spark.read.schema(chunks.STORE).parquet(path).filter("doc_id IS NULL OR doc_id != 5")
+    stored = rows.select(F.explode("own").alias("b")).filter("b IS NOT NULL").union(rows.select(F.explode("lent.bytes")))
     assert stored.count() == stored.distinct().count()
     # an insertion only changes the chunks near it
-    sizes = {r.doc_id: sum(len(b) for b in r.own if b) for r in spark.read.schema(chunks.STORE).parquet(path).collect() if r.doc_id in (12, 13, 14)}
+    sizes = {r.doc_id: sum(len(b) for b in r.own if b) + sum(len(x.bytes) for x in r.lent) for r in spark.read.schema(chunks.STORE).parquet(path).collect() if r.doc_id in (12, 13, 14)}
     assert sizes[13] < 20_000 and sizes[14] < 40_000
 
 
@@ -59,6 +61,31 @@ def test_chunks_detect_damage(spark):
         chunks.read_media(spark, path + "-bad").collect()
 
 
+def test_chunks_miss_no_owner_silently(spark):
+    """A document whose lender's row is gone is an error, not a missing row."""
+    path, noise = fresh_dir(spark, "t-chunks"), random.Random(3).randbytes(20_000).hex()
+    chunks.write_store(docs(spark, [noise, "x" + noise]), path)
+    assert chunks.read_media(spark, path).count() == 3
+    spark.read.schema(chunks.STORE).parquet(path).filter("doc_id != 0").write.parquet(path + "-gone")
+    with pytest.raises(Exception, match="is not in the store"):
+        chunks.read_media(spark, path + "-gone").collect()
+
+
+def test_bloom_filters_never_miss():
+    ids = np.arange(-50, 5000, 7, dtype=np.int64)
+    marks = np.zeros(bloom.MIN_BITS // 8, dtype=np.uint8)
+    at = bloom._positions(bloom.id_hash(ids), bloom.MIN_BITS)
+    np.bitwise_or.at(marks, (at.ravel() >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (at.ravel() & np.uint64(7)).astype(np.uint8))
+    assert bloom.holds(marks.tobytes(), bloom.id_hash(ids)).all()
+    assert bloom.holds(marks.tobytes(), bloom.id_hash(ids + 100_000)).mean() < 0.01 and not len(bloom.holds(marks.tobytes(), np.empty(0, np.uint64)))
+
+
+def test_batches_are_sliced_by_bytes():
+    batch = pa.RecordBatch.from_pydict({"k": list(range(50)), "t": [None] + ["x" * (100_000 if k % 10 == 0 else 10) for k in range(49)]})
+    parts = list(pieces(iter([batch]), 150_000))
+    assert sum(p.num_rows for p in parts) == 50 and len(parts) >= 4 and [x for p in parts for x in p.column(0).to_pylist()] == list(range(50))
+
+
 def test_cutter_bounds_and_gear():
     cutter, data = chunks.Cutter(mask_bits=6, least=64, most=512), random.Random(2).randbytes(50_000)
     gear = cutter.gear()
@@ -93,7 +120,7 @@ def pages(spark, rows):
 def test_warc_normalise(spark):
     given = [(1, "http://a/", "<p>x</p>"), (2, "http://b/\r\nEvil: 1", "<p>x</p>"), (3, None, None), (4, "u", ""), (5, "ü", "é" * 1000), (9, "v", "<p>x</p>"), (None, "n", "<p>x</p>"), (7, "w", "\r\n\r\nWARC/1.1\r\n\r\n"), (7, "w", "\r\n\r\nWARC/1.1\r\n\r\n")]
     folder = fresh_dir(spark, "t-warc")
-    whole = warc.write_monolithic(warc.mark_revisits(pages(spark, given)), folder + "/a")
+    whole = warc.write_monolithic(pages(spark, given), folder + "/a")
     members = warc.normalise(whole, folder + "/b")
     got = sorted(((r.page_id or 0, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in warc.read_archives(members).collect()), key=str)
     last = {}
@@ -127,7 +154,7 @@ def test_warc_streams_in_any_pieces():
 
 def test_warc_empty_table(spark):
     folder = fresh_dir(spark, "t-warc")
-    members = warc.normalise(warc.write_monolithic(warc.mark_revisits(pages(spark, [(1, "u", "h")]).filter("false")), folder + "/a"), folder + "/b")
+    members = warc.normalise(warc.write_monolithic(pages(spark, [(1, "u", "h")]).filter("false"), folder + "/a"), folder + "/b")
     assert warc.read_archives(members).count() == 0
 
 

@@ -48,9 +48,29 @@ def test_line_dedup_matches_brute_force(spark):
 
 def test_line_filters_never_miss(spark):
     digests = [hashlib.blake2b(str(k).encode(), digest_size=16).digest() for k in range(500)]
-    at = linededup.positions(digests, 1 << 18)
-    assert at.shape == (500, linededup.HASHES) and at.max() < 1 << 18
-    assert linededup.filter_bits(0) == linededup.MIN_FILTER_BITS and linededup.filter_bits(10**12) == linededup.MAX_FILTER_BITS
+    plan = linededup.layout(0)
+    assert plan == linededup.Layout(linededup.MIN_FILTER_BITS) and plan.positions(digests).max() < plan.bits
+    huge = linededup.layout(10**12)
+    assert (huge.bits, huge.ranges, huge.hashes) == (linededup.MAX_FILTER_BITS, linededup.MAX_RANGES, 1)
+    marks, seen = linededup._Marks(1 << 12), []
+    for k in range(6):  # sparse first, then bit sets
+        marks.add(np.array([k, k + 1, 100 + k, 100 + k, *range(200, 200 + 20 * k)], dtype=np.uint64))
+        seen.append(marks.dense)
+    once, twice = (np.unpackbits(np.concatenate([marks.segment(k)[j] if marks.segment(k) else np.zeros((1 << 12) // 8 // linededup.SEGMENTS, np.uint8) for k in range(linededup.SEGMENTS)])) for j in (0, 1))
+    assert seen[0] is False and seen[-1] is True and set(np.flatnonzero(once)) == {*range(7), *range(100, 106), *range(200, 300)}
+    assert set(np.flatnonzero(twice)) == {*range(1, 6), *range(100, 106), *range(200, 280)}
+
+
+def test_line_filters_in_ranges_give_the_same(spark):
+    rows = [(k, f"line number {k % 17} of all\nthe line of {k} alone\nline number {k % 5} again") for k in range(50)]
+    keyed = docs(spark, rows).select("doc_id", "text")
+    plans = [linededup.layout(150), linededup.Layout(1 << 12, 4, 2), linededup.Layout(1 << 10, 2, 1)]
+    found = []
+    for plan in plans:
+        suspects, total = linededup.suspected(keyed, plan)
+        assert suspects.count() == total
+        found.append({bytes(r.digest) for r in suspects.groupBy("digest").agg(F.countDistinct("doc_id").alias("n")).filter("n > 1").collect()})
+    assert len(found[0]) == 22 and found[0] == found[1] == found[2]
 
 
 def sets(rows):
@@ -109,8 +129,9 @@ def test_near_duplicates_match_brute_force(spark):
     assert ngramjoin.near_duplicates(docs(spark, rows).filter("false")).count() == 0
 
 
-@pytest.mark.parametrize("seed", [11, 12])
-def test_near_duplicates_without_a_source(spark, seed):
+@pytest.mark.parametrize(("seed", "block"), [(11, 1000), (12, 4)])
+def test_near_duplicates_without_a_source(spark, seed, block, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "BLOCK", block)  # 4: columns and centres in salted blocks
     rows = [r for r in variants(seed, 60) if r[0] != 1000]
     got = {r.doc_id: r.component_id for r in ngramjoin.near_duplicates(docs(spark, rows)).collect()}
     assert got == brute_groups(rows)

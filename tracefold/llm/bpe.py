@@ -14,8 +14,9 @@ The vocabulary file is a parameter; the driver reads it and broadcasts its bytes
 checked). Memory of a worker: the DuckDB limit, the vocabulary and a memo of ``MEMO`` pieces. The
 memo only saves work; losing a worker or an executor loses nothing.
 
-Defined results: null or empty text has no tokens and decodes to nothing. Ids and repeated rows
-pass through. Extra columns stay; ``ids`` and ``decoded`` of the input are replaced.
+Defined results: null or empty text has no tokens and decodes to nothing; an id that the vocabulary
+lacks is an error. Null ids of documents and repeated rows pass through; an empty table gives an empty
+table. Extra columns stay; the columns that a function adds replace the input's of the same name.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracefold.llm.common import small_arrow_batches, table
+from tracefold.llm.common import pieces, table
 
 #: The code points with Unicode's White_Space property.
 WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -88,6 +89,7 @@ class Codec:
         lacking = [b for b in range(256) if bytes([b]) not in self.ranks]
         if lacking:
             raise ValueError(f"the vocabulary lacks the single bytes {lacking}")
+        self.known = frozenset(self.ranks.values())
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         exact = pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")
         self.pattern = regex.compile(exact)
@@ -169,6 +171,9 @@ class Codec:
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """Bytes of each id sequence, by ordered aggregation of token-position rows."""
         out, at = [b""] * len(ids), 0
+        unknown = set(np.frombuffer(b"".join(ids), dtype="<u4").tolist()).difference(self.known)
+        if unknown:
+            raise ValueError(f"ids that the vocabulary lacks: {sorted(unknown)[:10]}")
         while at < len(ids):
             end, n = at, 0
             while end < len(ids) and (end == at or n + len(ids[end]) // 4 <= BATCH_TOKENS):
@@ -213,7 +218,7 @@ def _columns(batch: pa.RecordBatch, at: int, end: int, names: list[str]) -> dict
 def _encode_rows(shared, pattern: str, text: str, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value, pattern)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [t or "" for t in batch.column(text).to_pylist()]
             for at, end in _slices(texts):
                 ids = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in own.encode(texts[at:end])]
@@ -225,15 +230,14 @@ def _encode_rows(shared, pattern: str, text: str, keep: list[str]):
 def _decode_rows(shared, pattern: str, ids: str, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value, pattern)
-        for batch in batches:
-            raw = [np.array(x or [], dtype="<u4").tobytes() for x in batch.column(ids).to_pylist()]
+        for batch in pieces(batches):
+            raw = [np.array(x or [], dtype="<i4").view("<u4").tobytes() for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_pydict(_columns(batch, 0, batch.num_rows, keep) | {"decoded": pa.array(own.decode(raw), pa.binary())})
 
     return run
 
 
 def _share(docs: DataFrame, path: str):
-    small_arrow_batches(docs.sparkSession)
     return docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
 
@@ -254,7 +258,7 @@ def bpe_decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") ->
 def _round_trip(shared, pattern: str, text: str, keep: list[str], with_tokens: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value, pattern)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [t or "" for t in batch.column(text).to_pylist()]
             for at, end in _slices(texts):
                 ids = own.encode(texts[at:end])

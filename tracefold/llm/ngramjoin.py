@@ -1,30 +1,34 @@
 """Exact near-duplicate groups: a blocked, sparse document by n-gram product with size bounds.
 
-Documents with equal shingle sets are one row of the incidence matrix. Of each row only the prefix
-that a partner of similarity ``t`` can't avoid enters the product: the first ``n - ceil(t n) + 1``
-shingles in one global order. The order puts frequent shingles last (by a count sketch of 2^20
-counters over the whole corpus), so that passages which many documents share rarely enter it; any
-order gives the same result.
-
-The product runs over blocks of shingles (a hash partition each) and never forms all pairs of a
-column:
-
-1. Every column links its rows to one of them, its centre: a row each. The centre is the row whose
-   shingles are most frequent on average, as a source text's are among its edited copies.
-2. Columns whose rows now lie in one component are done. In the others rows of different components
-   are multiplied, and overlap counts accumulate per pair.
-
-In both steps an entry counts only within the size-derived bounds of its pair of sizes n and m: with
-``o = ceil(t (n + m) / (1 + t))`` shingles needed in common, ``min >= t max``, and the shingle stands at
-most ``n - o`` and ``m - o`` places into its rows; a pair's first common shingle does, if they are
-linked. Step 2 also leaves out pairs that step 1 tested. What is left is verified on whole sets.
-
-A link within one component can't change a component, so the groups are those of all links.
+Documents with equal shingle sets are one row of the incidence matrix. Shingles have one global order,
+rare before frequent (by a count sketch of 2^20 counters over the whole corpus). With n and m for the
+sizes of two rows, ``o = ceil(t (n + m) / (1 + t))`` is the overlap that a link needs.
+
+1. Nomination. The prefix of a row, its first ``n - ceil(t n) + 1`` shingles, is what a partner can't
+   avoid. Every column (shingle) links its rows to one of them, its centre: a row each, never all
+   pairs. The centre is the row whose shingles are most frequent on average, as a source text's are
+   among its edited copies. Columns that the sketch calls hot are dealt into salted blocks, each with
+   a centre, and the blocks' centres are linked to one of them. Pairs must pass the bounds of their
+   sizes: ``min >= t max``, and the shingle stands at most ``n - o`` and ``m - o`` places into its
+   rows; the first common shingle of a linked pair does.
+2. Product. The overlaps of nominated pairs accumulate over two blocks of columns, rare and frequent
+   ones: (pair, shingle) rows of one side join the other side's and are counted per pair. After the
+   first block a pair is discarded unless its count and what its rows still hold in the second block
+   reach ``o``. The counts after the second block are the whole overlaps, and alone decide the links.
+3. Columns whose rows now lie in one component are done. In the others rows of different components
+   meet, in blocks of ``BLOCK`` rows, within the same bounds; their counts accumulate per pair, and a
+   pair is discarded unless its count and what its rows hold behind the last shared place reach ``o``.
+   The rest that step 2 has not decided goes through the same product.
+
+A link within one component can't change a component, so the groups are those of all links. Texts
+never shuffle: a Bloom filter finds the rows that are in nominated pairs, and their shingles move.
 
 Shingles are told apart by 64-bit hashes, sets of them by 128-bit digests. Defined results: a text
 with one to four words has its whole sequence as its only shingle; a null or empty text, or one
 without words, has none and is linked with nothing. Rows without ``doc_id`` have no component. Rows
-that repeat a ``doc_id`` are one vertex with the links of all. Columns of the input are not carried.
+that repeat a ``doc_id`` are one vertex with the links of all. Equal similarities of 3/4 count as
+links. An empty table gives no rows. Columns of the input, whatever their names, are not carried. A
+very long text is one row of shingles in memory.
 """
 
 from __future__ import annotations
@@ -32,21 +36,25 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import materialise, maybe_broadcast, small_arrow_batches, table
+from tracefold.llm import bloom
+from tracefold.llm.common import HOT_SHARE, materialise, maybe_broadcast, pieces, salted_join, table
 from tracefold.operators.components import connected_components
+from tracefold.storage import cut_with, release
 
 WORDS = 5
 #: Similarity at least 3/4, in whole numbers: 4 * overlap >= 3 * union.
 NUM, DEN = 3, 4
 SKETCH_BITS, SEGMENTS = 20, 16
 MEMO = 400_000
-SALTS = 16
+#: Rows that meet at once in a block of a column, and partners of a centre in a block of the product.
+BLOCK = 1000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _memo: dict[bytes, int] = {}
@@ -89,7 +97,7 @@ _SETS = "doc_id long, n int, digest binary, segment int, counts binary"
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document, then the partition's sketch in segments."""
     counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
-    for batch in batches:
+    for batch in pieces(batches):
         n, digests = [], []
         for text in batch.column(1).to_pylist():
             grams = shingles(text)
@@ -107,7 +115,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for segment, raw in zip(*(c.to_pylist() for c in batch.columns)):
+        for segment, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             part = np.frombuffer(zlib.decompress(raw), dtype=np.uint32)
             # saturating: a count only orders shingles
             total[segment] = np.minimum(total[segment].astype(np.uint64) + part, 0xFFFFFFFF).astype(np.uint32) if segment in total else part
@@ -115,63 +123,82 @@ def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"segment": pa.array([segment], pa.int32()), "counts": [zlib.compress(part.tobytes(), 1)]})
 
 
-def _prefixes(shared):
+@dataclass(frozen=True)
+class Shared:
+    """Broadcasts of bounded size: the sketch (4 MB) and filters of sets with copies, of ids that
+    repeat with different sets, and of the rows of nominated pairs."""
+
+    sketch: object
+    copied: object
+    repeated: object
+    least_hot: int
+    rare: int
+    members: object = None
+
+
+def _counts(sketch: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    return sketch[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+
+
+def _vertices(ids: np.ndarray, repeated: bytes, sets: list[np.ndarray] | None, texts: list[str | None]) -> list[int]:
+    """The row's number: its id, or one made of its set where the id may repeat with another set."""
+    out = ids.tolist()
+    for k in np.flatnonzero(bloom.holds(repeated, bloom.id_hash(ids))).tolist():
+        digest = set_digest(sets[k] if sets else shingles(texts[k]))
+        out[k] = (1 << 62) | (int.from_bytes(digest[:8], "little") >> 2) if digest else out[k]
+    return out
+
+
+def _prefixes(shared: Shared):
+    """(vertex, doc, n, turn, digest if the set may have copies, prefix, salts of hot columns)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.frombuffer(shared.value, dtype=np.uint32)
-        for batch in batches:
-            grams_out, docs_out, sizes_out, at_out, turns_out = [], [], [], [], []
-            for doc_id, text, skip in zip(*(c.to_pylist() for c in batch.columns)):
-                grams = shingles(text)
-                if not len(grams) or (skip and set_digest(grams) in skip):
+        sketch = np.frombuffer(shared.sketch.value, dtype=np.uint32)
+        for batch in pieces(batches):
+            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            sets = [shingles(t) for t in texts]
+            digests = [set_digest(g) for g in sets]
+            copied = bloom.holds(shared.copied.value, bloom.digest_hash([d or bytes(8) for d in digests])).tolist()
+            cols: dict[str, list] = {c.split()[0]: [] for c in _PACKED.split(", ")}
+            for v, doc, grams, digest, may in zip(_vertices(ids, shared.repeated.value, sets, texts), ids.tolist(), sets, digests, copied, strict=True):
+                if not len(grams):
                     continue
-                counts = sketch[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                counts = _counts(sketch, grams)
                 order = np.lexsort((grams, counts))
                 turn = -int(32 * np.log2(np.maximum(counts, 1)).mean())  # coarse: fewer bytes to shuffle
-                chosen = grams[order[: prefix_length(len(grams))]]
-                grams_out.append(chosen.view(np.int64))
-                docs_out.append(np.full(len(chosen), doc_id, dtype=np.int64))
-                sizes_out.append(np.full(len(chosen), len(grams), dtype=np.int32))
-                at_out.append(np.arange(len(chosen), dtype=np.int32))
-                turns_out.append(np.full(len(chosen), turn, dtype=np.int32))
-            if grams_out:
-                parts = {"gram": grams_out, "doc": docs_out, "n": sizes_out, "at": at_out, "turn": turns_out}
-                yield pa.RecordBatch.from_pydict({c: np.concatenate(x) for c, x in parts.items()})
+                chosen = order[: prefix_length(len(grams))]
+                parts = -(-counts[chosen].astype(np.int64) // shared.least_hot)
+                salts = np.where(parts > 1, 1 + ((v * 2654435761 >> 16) & 0x7FFFFFFF) % np.maximum(parts, 1), 0) if parts.max() > 1 else None
+                for name, value in zip(cols, (v, doc, len(grams), turn, digest if may else None, grams[chosen].view(np.int64), salts), strict=True):
+                    cols[name].append(value)
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_pydict({c: pa.array(v, t) for (c, v), t in zip(cols.items(), types, strict=True)})
 
     return run
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (b, salt, a), those of the centre b itself first (a null)."""
-    at, centres = None, []
-    for batch in batches:
-        out: dict[str, list] = {"a": [], "b": [], "overlap": [], "na": [], "nb": []}
-        for b, salt, a, text in zip(*(c.to_pylist() for c in batch.columns)):
-            if (b, salt) != at:
-                at, centres = (b, salt), []
-            own = shingles(text)
-            if a is None:
-                centres.append(own)
-                continue
-            for centre in centres:
-                common = len(np.intersect1d(own, centre, assume_unique=True))
-                for name, value in zip(out, (a, b, common, len(own), len(centre))):
-                    out[name].append(value)
-        yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in out.items()})
-
-
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Similarity of (a, b) pairs on whole sets. A centre b meets its partners in salted groups."""
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
-    groups = salted.select("b", "salt").distinct()
-    partners = texts.join(maybe_broadcast(salted), F.col("a") == F.col("doc_id")).select("b", "salt", "a", "text")
-    centres = texts.join(maybe_broadcast(groups), F.col("b") == F.col("doc_id")).select("b", "salt", F.lit(None).cast("long").alias("a"), "text")
-    rows = centres.unionByName(partners).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
-    counted = rows.mapInArrow(_overlaps, "a long, b long, overlap long, na long, nb long")
-    best = counted.groupBy("a", "b").agg(
-        F.max(F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).alias("similarity"),
-        F.max((NUM + DEN) * F.col("overlap") >= NUM * (F.col("na") + F.col("nb"))).alias("linked"),
-    )
-    return materialise(best, "ngram-verified")
+_PACKED = "vid long, doc long, n int, turn int, digest binary, grams array<long>, salts array<int>"
+
+
+def _incidence(shared: Shared):
+    """(vertex, rare, common): whole rows of the vertices that the filter of members holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = np.frombuffer(shared.sketch.value, dtype=np.uint32)
+        for batch in pieces(batches):
+            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            vertices = _vertices(ids, shared.repeated.value, None, texts)
+            inside = bloom.holds(shared.members.value, bloom.id_hash(np.array(vertices, dtype=np.int64)))
+            vids, rare, common = [], [], []
+            for k in np.flatnonzero(inside).tolist():
+                grams = shingles(texts[k])
+                few = _counts(sketch, grams) <= shared.rare
+                vids.append(vertices[k])
+                rare.append(grams[few].view(np.int64))
+                common.append(grams[~few].view(np.int64))
+            yield pa.RecordBatch.from_pydict({"vid": pa.array(vids, pa.int64()), "rare": pa.array(rare, pa.list_(pa.int64())), "common": pa.array(common, pa.list_(pa.int64()))})
+
+    return run
 
 
 def _needed(n: Column, m: Column) -> Column:
@@ -179,61 +206,110 @@ def _needed(n: Column, m: Column) -> Column:
     return F.ceil(F.lit(NUM) * (n + m) / (NUM + DEN))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs``."""
-    spark = docs.sparkSession
-    small_arrow_batches(spark)
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sets = materialise(texts.mapInArrow(_sets, _SETS), "ngram-sets")
-    rows = sets.filter("segment IS NULL").select("doc_id", "n", "digest")
-
+def product(pairs: DataFrame, known: DataFrame, shared: Shared) -> DataFrame:
+    """(a, b, overlap) of those pairs (a, b, n, m) that reach the needed overlap: whole overlaps,
+    accumulated over the two blocks of columns. Partners of a centre b are dealt into salted blocks."""
+    spark = pairs.sparkSession
+    members = materialise(pairs.select(F.explode(F.array("a", "b")).alias("vid")).distinct(), "ngram-members")
+    shared = replace(shared, members=spark.sparkContext.broadcast(bloom.of_ids(members, members.count())))
+    # rows that repeat are one
+    rows = known.mapInArrow(_incidence(shared), "vid long, rare array<long>, common array<long>").join(members, "vid", "left_semi").dropDuplicates(["vid"])
+    rows = materialise(rows, "ngram-rows")
+    side = lambda c, *more: rows.select(F.col("vid").alias(c), *more)
+    blocks = materialise(pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "ngram-centres")
+    now = pairs.join(blocks, "b").join(side("a", F.size("common").alias("ca")), "a").join(side("b", F.size("common").alias("cb")), "b").withColumn("overlap", F.lit(0).cast("long"))
+    for block in ("rare", "common"):
+        now = materialise(now, "ngram-product")
+        partners = now.select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part")).join(side("a", block), "a").select("a", "b", "part", F.explode(block).alias("gram"))
+        centres = now.select("b", "parts").distinct().join(side("b", block), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), block).select("b", "part", F.explode(block).alias("gram"))
+        counted = partners.join(centres, ["b", "part", "gram"]).groupBy("a", "b").agg(F.count("*").alias("c"))
+        rest = F.least("ca", "cb") if block == "rare" else F.lit(0)
+        now = now.join(counted, ["a", "b"], "left").withColumn("overlap", F.col("overlap") + F.coalesce("c", F.lit(0))).drop("c")
+        now = now.filter((NUM + DEN) * (F.col("overlap") + rest) >= NUM * (F.col("n") + F.col("m")))
+    found = materialise(now.select("a", "b", "overlap"), "ngram-links")
+    release(rows)
+    return found
+
+
+def _sketch(sets: DataFrame) -> np.ndarray:
     sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
     sums = sets.filter("segment IS NOT NULL").select("segment", "counts").repartition(SEGMENTS, "segment").mapInArrow(_add_counts, "segment int, counts binary")
     width = (1 << SKETCH_BITS) // SEGMENTS
     for row in sums.toLocalIterator():  # 4 MB together, at any size of input
         sketch[row.segment * width : (row.segment + 1) * width] = np.frombuffer(zlib.decompress(row.counts), dtype=np.uint32)
-    shared = spark.sparkContext.broadcast(sketch.tobytes())
+    return sketch
 
-    # copies: rows whose set a smaller document holds
-    held = rows.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = held.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep != last").select("digest", "rep")
-    copies = materialise(held.join(maybe_broadcast(classes), "digest").filter("doc_id != rep").select("doc_id", "digest", "rep").distinct(), "ngram-copies")
-    skip = copies.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("digest").alias("skip"))
+
+def _median_count(sketch: np.ndarray) -> int:
+    """The count up to which half of all entries lie."""
+    counts = np.sort(sketch)
+    total = np.cumsum(counts, dtype=np.float64)
+    return int(counts[np.searchsorted(total, total[-1] / 2)]) if total[-1] else 0
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs``."""
+    spark = docs.sparkSession
+    share = spark.sparkContext.broadcast
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     known = texts.filter("doc_id IS NOT NULL")
-    prefixes = known.join(maybe_broadcast(skip), F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "skip").mapInArrow(_prefixes(shared), "gram long, doc long, n int, at int, turn int")
+    sets, seen = cut_with(texts.mapInArrow(_sets, _SETS), "ngram-sets", n=F.count("*"))
+    rows = sets.filter("segment IS NULL").select("doc_id", "n", "digest")
+    sketch = _sketch(sets)
+
+    # copies: rows whose set a smaller document holds
+    held = rows.filter("digest IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "digest")
+    holders = held.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    classes, many = cut_with(holders.filter("rep != last").select("digest", "rep", "n"), "ngram-classes", n=F.count("*"))
+    copies = materialise(salted_join(held, classes, "digest", seen["n"], "doc_id").filter("doc_id != rep").distinct(), "ngram-copies")
+    repeated, again = cut_with(held.groupBy("doc_id").agg(F.min("digest").alias("d"), F.max("digest").alias("e")).filter("d != e").select("doc_id"), "ngram-repeated", n=F.count("*"))
+    shared = Shared(
+        share(sketch.tobytes()), share(bloom.of_digests(classes.select("digest"), many["n"])), share(bloom.of_ids(repeated, again["n"])),
+        max(BLOCK, seen["n"] // HOT_SHARE), _median_count(sketch),
+    )
 
     # columns with two rows or more, each with its centre
-    by_gram = Window.partitionBy("gram").orderBy("turn", "doc")
+    packed = materialise(known.mapInArrow(_prefixes(shared), _PACKED), "ngram-packed")
+    single = packed.filter("digest IS NOT NULL").join(copies.select(F.col("doc_id").alias("doc"), "digest"), ["doc", "digest"], "left_anti")
+    prefixes = packed.filter("digest IS NULL").unionByName(single.select(*packed.columns)).select("vid", "n", "turn", "salts", F.posexplode("grams").alias("at", "gram"))
+    prefixes = prefixes.select("gram", F.coalesce(F.get("salts", "at"), F.lit(0)).alias("salt"), "vid", "n", "at", "turn")
+    by_gram = Window.partitionBy("gram", "salt").orderBy("turn", "vid")
     ranked = prefixes.select(
-        "gram", "doc", "n", "at",
+        "gram", "salt", "vid", "n", "at", "turn",
         F.row_number().over(by_gram).alias("rank"),
-        F.lead("doc").over(by_gram).alias("next"),
-        F.first(F.struct("doc", "n", "at")).over(by_gram.rowsBetween(Window.unboundedPreceding, 0)).alias("centre"),
+        F.lead("vid").over(by_gram).alias("next"),
+        F.first(F.struct("vid", "n", "at")).over(by_gram.rowsBetween(Window.unboundedPreceding, 0)).alias("centre"),
     )
-    columns = materialise(ranked.filter("rank > 1 OR next IS NOT NULL").select("gram", "doc", "n", "at", F.col("centre.doc").alias("centre"), F.col("centre.n").alias("cn"), F.col("centre.at").alias("cat"), ((F.col("rank") <= 2) & F.col("next").isNull()).alias("pair")), "ngram-columns")
+    columns, entries = cut_with(ranked.filter("rank > 1 OR next IS NOT NULL OR salt > 0").select("gram", "salt", "vid", "n", "at", "turn", "rank", F.col("centre.vid").alias("centre"), F.col("centre.n").alias("cn"), F.col("centre.at").alias("cat")), "ngram-columns", n=F.count("*"))
+    named = materialise(packed.filter("vid != doc").select(F.col("vid").alias("a"), F.col("doc").alias("b")), "ngram-named")
+    release(packed)
     within = lambda n, at, m, bt: (DEN * F.least(n, m) >= NUM * F.greatest(n, m)) & (at <= n - _needed(n, m)) & (bt <= m - _needed(n, m))
-    first = columns.filter("doc != centre").filter(within(F.col("n"), F.col("at"), F.col("cn"), F.col("cat"))).select(F.col("doc").alias("a"), F.col("centre").alias("b")).distinct()
-    tested = verified(materialise(first, "ngram-pairs"), known)
-    links = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).union(tested.filter("linked").select("a", "b"))
+    nominated = lambda df: df.filter("vid != centre").filter(within(F.col("n"), F.col("at"), F.col("cn"), F.col("cat"))).select(F.col("vid").alias("a"), F.col("centre").alias("b"), "n", F.col("cn").alias("m"))
+    heads = columns.filter("salt > 0 AND rank = 1").select("gram", "vid", "n", "at", "turn")
+    tops = heads.groupBy("gram").agg(F.min(F.struct("turn", "vid", "n", "at")).alias("t")).select("gram", F.col("t.vid").alias("centre"), F.col("t.n").alias("cn"), F.col("t.at").alias("cat"))
+    first, some = cut_with(nominated(columns).unionByName(nominated(heads.join(tops, "gram"))).distinct(), "ngram-pairs", n=F.count("*"))
+    links = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).union(named)
+    if some["n"]:
+        links = links.union(product(first, known, shared).select("a", "b"))
     found = materialise(connected_components(links, "a", "b"), "ngram-components")
 
-    # columns that still span components: rows of different components meet
-    place = lambda df, c, name: df.join(maybe_broadcast(found.select(F.col("node").alias(f"__{c}"), F.col("component").alias(name))), F.col(c) == F.col(f"__{c}"), "left").drop(f"__{c}").withColumn(name, F.coalesce(name, c))
-    # of a column of two, the one pair is tested or out of bounds
-    spread = place(place(columns.filter("doc != centre AND NOT pair"), "doc", "comp"), "centre", "ccomp")
-    open_columns = materialise(spread.filter("comp != ccomp").select("gram").distinct(), "ngram-open-columns")
-    left = materialise(place(columns.join(maybe_broadcast(open_columns), "gram", "left_semi").select("gram", "doc", "n", "at"), "doc", "comp"), "ngram-open")
-    x, y = left.alias("x"), left.alias("y")
-    bounds = within(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"))
-    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.comp") != F.col("y.comp")) & bounds)
-    product = met.groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.count("*").alias("overlap"))
-    # behind the last place within the bounds, a row has o - 1 shingles
-    possible = product.filter(F.col("overlap") + _needed(F.col("n"), F.col("m")) - 1 >= _needed(F.col("n"), F.col("m"))).select("a", "b").distinct()
-    done = tested.select("a", "b").union(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    second = materialise(possible.join(done, ["a", "b"], "left_anti"), "ngram-pairs")
-    if not second.isEmpty():
-        more = verified(second, known).filter("linked").select("a", "b")
-        found = materialise(connected_components(links.union(more), "a", "b"), "ngram-components")
+    # columns that still span components: rows of different components meet; the one pair of two rows is decided
+    places = found.select(F.col("node").alias("vid"), F.col("component").alias("comp"))
+    placed = columns.select("gram", "vid", "n", "at").join(maybe_broadcast(places), "vid", "left").withColumn("comp", F.coalesce("comp", "vid"))
+    spans = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo != hi AND n > 2")
+    spans = materialise(spans.select(F.col("gram").alias("g"), F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"), "n"), "ngram-open-columns")
+    left, open_rows = cut_with(salted_join(placed.withColumnRenamed("gram", "g"), spans, "g", entries["n"], "vid"), "ngram-open", n=F.count("*"))
+    if open_rows["n"]:
+        x = left.withColumn("part", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int")).alias("x")
+        y = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
+        bounds = within(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"))
+        met = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.vid") < F.col("y.vid")) & (F.col("x.comp") != F.col("y.comp")) & bounds)
+        counted = met.groupBy(F.col("x.vid").alias("a"), F.col("y.vid").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.count("*").alias("overlap"), F.max("x.at").alias("at"), F.max("y.at").alias("bt"))
+        possible = counted.filter(F.col("overlap") + F.least(F.col("n") - 1 - F.col("at"), F.col("m") - 1 - F.col("bt")) >= _needed(F.col("n"), F.col("m"))).select("a", "b", "n", "m")
+        tested = first.select("a", "b").union(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        second, more = cut_with(possible.join(tested, ["a", "b"], "left_anti"), "ngram-pairs", n=F.count("*"))
+        if more["n"]:
+            found = materialise(connected_components(links.union(product(second, known, shared).select("a", "b")), "a", "b"), "ngram-components")
     return rows.join(maybe_broadcast(found), F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 

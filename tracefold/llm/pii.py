@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import materialise, maybe_broadcast, small_arrow_batches, table
+from tracefold.llm.common import materialise, maybe_broadcast, pieces, table
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_SCORE, ROUNDS = 3.0, 0.6, 0.6, 3
@@ -154,7 +154,6 @@ def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Data
 
 def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, base, found): base spans, and base and contextual spans together, in order."""
-    small_arrow_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = materialise(texts.mapInArrow(_scan, _ROW), "pii-rows")
     places = rows.filter(F.size("seen") > 0).select("doc_id", "key", F.explode("seen").alias("s")).select("doc_id", "key", "s.*")

@@ -6,14 +6,15 @@ that the ledger lacks, fetches one text per such blob (the version with the smal
 only the missing rules over it, appends both tables, and joins findings back to all paths.
 
 Shuffles: one of narrow (path, blob) rows; one of texts on the unique (path, blob) pair, which hot
-content can't skew.
+content can't skew; one of narrow rows to their findings, salted for blobs that many paths hold.
 
 Spans are code points, end exclusive. They follow from the pieces between the matches, because
 ``split`` and ``regexp_extract_all`` find the same leftmost matches.
 
 Defined results: null text counts as empty. Null paths are allowed and compare equal. Repeated rows
-give repeated rows. Columns of the input other than path and text are not carried. A rule edit needs
-a new version; old findings stay in the ledger and are not reported.
+give repeated rows. An empty table adds nothing to the ledger and returns no rows. A very long text is
+one row, scanned whole. Columns of the input other than path and text, whatever their names, are not
+carried. A rule edit needs a new version; old findings stay in the ledger and are not reported.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import fresh_dir, let, maybe_broadcast, table
+from tracefold.llm.common import fresh_dir, let, materialise, salted_join, table
+from tracefold.storage import cut_with, release
 
 
 @dataclass(frozen=True)
@@ -38,15 +40,9 @@ class SecretRule:
     base: bool = False
 
 
-def either_case(word: str) -> str:
-    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
-
-
-_KEYWORDS = "|".join(["password", "passwd", "secret", "token"])
-ASSIGN = (
-    "(" + "|".join([either_case(w) for w in _KEYWORDS.split("|")] + [either_case("api") + "_?" + either_case("key")]) + ")"
-    + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-)
+#: What the name of an assigned secret ends in, letters in either case.
+KEYWORDS = ("[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]", "[Pp][Aa][Ss][Ss][Ww][Dd]", "[Ss][Ee][Cc][Rr][Ee][Tt]", "[Tt][Oo][Kk][Ee][Nn]", "[Aa][Pp][Ii]_?[Kk][Ee][Yy]")
+ASSIGN = "(" + "|".join(KEYWORDS) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: For access keys and hex runs a failing match reaches to the end of its run, where no longer one
 #: can start, so the least length can stand in the pattern.
 RULES = (
@@ -58,6 +54,9 @@ RULES = (
     SecretRule("vcs_token", "gh[opsu]_[A-Za-z0-9]{36}"),
 )
 
+#: The rules before the last edit of the table: ``vcs_token`` knew one prefix and the other two kinds were not there.
+FIRST_RULES = (*(r for r in RULES if r.base), SecretRule("vcs_token", "ghp_[A-Za-z0-9]{36}", version="0"))
+
 SPAN = "array<struct<start:int,end:int>>"
 
 
@@ -127,31 +126,29 @@ def scan_versions(versions: DataFrame, ledger: BlobLedger, rules: tuple[SecretRu
     """(path, blob, found) for every row of ``versions``; ``found`` holds rule, start, end in order."""
     spark = versions.sparkSession
     texts = versions.select(F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
-    paths_at = fresh_dir(spark, "blob-paths")
-    texts.select("path", "blob").write.option("compression", "zstd").parquet(paths_at)
-    paths = spark.read.schema(texts.select("path", "blob").schema).parquet(paths_at)
+    paths, seen = cut_with(texts.select("path", "blob"), "blob-paths", n=F.count("*"))
+    blobs = materialise(paths.groupBy("blob").agg(F.min("path").alias("owner"), F.count("*").alias("n")), "blob-owners")
 
     wanted = F.array(*[F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("rule_version")) for r in rules])
     done = ledger.seen().distinct().groupBy("blob").agg(F.collect_set(F.struct("rule", "rule_version")).alias("done"))
     unseen = (
-        paths.groupBy("blob").agg(F.min("path").alias("owner"))
-        .join(done, "blob", "left")
+        blobs.join(done, "blob", "left")
         .select("blob", "owner", F.array_except(wanted, F.coalesce("done", F.array().cast("array<struct<rule:string,rule_version:string>>"))).alias("rules"))
         .filter(F.size("rules") > 0)
     )
     picked = texts.join(unseen.withColumnRenamed("blob", "b"), F.col("path").eqNullSafe(F.col("owner")) & (F.col("blob") == F.col("b")))
     found = F.flatten(F.array(*[_found_by(r) for r in rules]))
-    scanned_at = fresh_dir(spark, "blob-scan")
-    scanned = picked.select("blob", "rules", found.alias("found"))
-    scanned.write.option("compression", "zstd").parquet(scanned_at)
-    ledger.append(spark.read.schema(scanned.schema).parquet(scanned_at))
+    scanned = materialise(picked.select("blob", "rules", found.alias("found")), "blob-scan")
+    ledger.append(scanned)
+    release(scanned)
 
     order = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(f"{r.kind}\x00{r.version}"), F.lit(k))])
     current = ledger.findings().withColumn("k", F.element_at(order, F.concat_ws("\x00", "rule", "rule_version"))).filter("k IS NOT NULL").distinct()
     per_blob = current.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "k", "end", "rule"))).alias("found"))
-    return paths.join(maybe_broadcast(per_blob, 50_000), "blob", "left").select(
-        "path", "blob", F.transform(F.coalesce("found", F.array().cast("array<struct<start:int,k:int,end:int,rule:string>>")), lambda x: F.struct(x["rule"].alias("rule"), x["start"].alias("start"), x["end"].alias("end"))).alias("found")
-    )
+    held = materialise(per_blob.join(blobs.select("blob", "n"), "blob"), "blob-findings")
+    back = salted_join(paths, held, "blob", seen["n"], "path", "left")
+    none = F.array().cast("array<struct<start:int,k:int,end:int,rule:string>>")
+    return back.select("path", "blob", F.transform(F.coalesce("found", none), lambda x: F.struct(x["rule"].alias("rule"), x["start"].alias("start"), x["end"].alias("end"))).alias("found"))
 
 
 def joined(found: Column) -> Column:
@@ -162,12 +159,22 @@ def _count_of(kind: str) -> Column:
     return F.size(F.filter("found", lambda x: x["rule"] == kind)).cast("long").alias(f"n_{kind}")
 
 
+def history(docs: DataFrame) -> DataFrame:
+    """(path, text): the versions of every document, its first line as ``<id>@0`` and the whole text as ``<id>@1``."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    versions = F.array(F.struct(F.lit("@0").alias("v"), F.substring_index(text, "\n", 1).alias("text")), F.struct(F.lit("@1").alias("v"), text.alias("text")))
+    return docs.select("doc_id", F.explode(versions).alias("x")).select(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "x.v").alias("path"), "x.text")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = BlobLedger(spark, fresh_dir(spark, "secret-ledger"))
-    found = scan_versions(table(spark, sf_dir, "documents").select("doc_id", "text"), ledger, path="doc_id")
+    """Two scans on one ledger: the first versions under the first rules, then all versions under the
+    rules of today, which scans new blobs by all rules and known ones by new rules and versions only."""
+    ledger, versions = BlobLedger(spark, fresh_dir(spark, "secret-ledger")), history(table(spark, sf_dir, "documents"))
+    scan_versions(versions.filter(F.col("path").endswith("@0")), ledger, FIRST_RULES)
+    found = scan_versions(versions, ledger).filter(F.col("path").endswith("@1"))
     base = [r.kind for r in RULES if r.base]
     return found.select(
-        F.col("path").alias("doc_id"),
+        F.substring_index("path", "@", 1).try_cast("long").alias("doc_id"),
         *[_count_of(k) for k in base],
         F.sha2(joined(F.filter("found", lambda x: x["rule"].isin(*base))), 256).alias("base_sha256"),
         joined(F.col("found")).alias("spans"),

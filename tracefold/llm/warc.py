@@ -1,9 +1,10 @@
 """WARC archives: write, normalise monolithic gzip to a member per record with offset index, read.
 
-1. ``mark_revisits`` groups narrow (digest, length) rows; equal payloads keep one response, the one
-   with the largest page id, and the others become revisits of it.
+1. ``revisits`` groups narrow (digest, length) rows; equal payloads keep one response, the one with the
+   largest page id, and the others become revisits of it. A hot payload's rows are salted.
 2. ``write_monolithic`` writes archives whose records share a single gzip stream (the form that
-   ``gzip file.warc`` leaves), rolled at ``ROLL_BYTES``.
+   ``gzip file.warc`` leaves), rolled at ``ROLL_BYTES``. Pages whose payload no other page has are
+   written from the scan; a Bloom filter of digests finds the rest, which alone meet ``revisits``.
 3. ``normalise`` inflates each whole-file stream once, in pieces, rewrites every record as its own
    gzip member and writes a sidecar ``.idx``: offset, length, type, page and digest per line.
 4. ``read_archives`` seeks to the members by the sidecars, parses them and verifies the digests.
@@ -14,7 +15,8 @@ Memory of a task: one record and one buffer.
 
 Defined results: null html is an empty payload, a null url leaves the header out. A null page id
 refers to, but is never referred to; such rows are responses if no other row has their payload.
-Rows that repeat the largest page id are all responses. Extra columns are ignored.
+Rows that repeat the largest page id are all responses. An empty table gives no archive and no rows.
+A very long page is one record in memory. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,17 +28,20 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import fresh_dir, materialise, maybe_broadcast, small_arrow_batches, table
+from tracefold.llm import bloom
+from tracefold.llm.common import fresh_dir, materialise, pieces, salted_join, table
 
 ROLL_BYTES = 64 << 20
 READ_BYTES = 1 << 20
 LEVEL = 6
+MAX_TASKS = 20_000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "archive string, n_records long"
@@ -44,15 +49,18 @@ INDEX = "archive string, offset long, length long, record_type string, page_id l
 RECORDS = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, url, html, refers_to): ``refers_to`` is set for payloads that another page responds with."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    rows = rows.withColumn("sha1", F.sha1(F.col("html").cast("binary")))
-    narrow = rows.select("page_id", "sha1", F.octet_length("html").alias("n")).filter(F.col("n") >= min_bytes)
-    last = narrow.groupBy("sha1", "n").agg(F.max("page_id").alias("last"), F.count("*").alias("rows")).filter("rows > 1 AND last IS NOT NULL").select("sha1", "last")
-    revisits = narrow.join(maybe_broadcast(last), "sha1").filter("page_id IS NULL OR page_id < last").select(F.col("page_id").alias("p"), F.col("sha1").alias("s"), F.col("last").alias("refers_to")).distinct()
-    same = F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha1") == F.col("s"))
-    return rows.join(maybe_broadcast(revisits), same, "left").select("page_id", "url", "html", "refers_to")
+def _pages(pages: DataFrame) -> DataFrame:
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    return rows.withColumn("sha1", F.sha1(F.col("html").cast("binary")))
+
+
+def revisits(rows: DataFrame, min_bytes: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(page_id, sha1, refers_to) of payloads that another page responds with, and the (sha1, n) that several rows have."""
+    narrow = materialise(rows.select("page_id", "sha1", F.octet_length("html").alias("size")).filter(F.col("size") >= min_bytes).drop("size"), "warc-digests")
+    held = narrow.groupBy("sha1").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1 AND last IS NOT NULL")
+    classes = materialise(held, "warc-classes")
+    found = salted_join(narrow, classes, "sha1", narrow.count(), "page_id").filter("page_id IS NULL OR page_id < last")
+    return materialise(found.select("page_id", "sha1", F.col("last").alias("refers_to")).distinct(), "warc-revisits"), classes
 
 
 def record_id(page_id: int | None, digest: str) -> str:
@@ -136,7 +144,20 @@ def _name(number: int) -> str:
     return f"records-{task.partitionId():05d}-{task.taskAttemptId()}-{number:03d}"
 
 
-def _write_monolithic(folder: str):
+def _picked(batches: Iterator[pa.RecordBatch], packed: bytes, inside: bool) -> Iterator[pa.RecordBatch]:
+    """Rows whose hash (column 0) may be in a filter, or those whose hash is surely not."""
+    for batch in batches:
+        hit = bloom.holds(packed, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+        yield batch.filter(pa.array(hit if inside else ~hit))
+
+
+def _repeated(shared):
+    return lambda batches: _picked(batches, shared.value, True)
+
+
+def _write_monolithic(folder: str, shared=None):
+    """Writes rows of (hash, page_id, url, html, refers_to); with a filter ``shared`` only those that it surely lacks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _open(folder)
         out = squeeze = None
@@ -148,8 +169,8 @@ def _write_monolithic(folder: str):
             out.close()
             return pa.RecordBatch.from_pydict({"archive": [f"{folder}/{name}"], "n_records": pa.array([n], pa.int64())})
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
+        for batch in pieces(_picked(batches, shared.value, False) if shared else batches):
+            for _, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     name = f"{_name(number)}.warc.gz"
                     out, squeeze = store.open_output_stream(f"{base}/{name}", compression=None), zlib.compressobj(1, zlib.DEFLATED, 31)
@@ -166,12 +187,25 @@ def _write_monolithic(folder: str):
     return run
 
 
-def write_monolithic(marked: DataFrame, folder: str) -> DataFrame:
+def write_monolithic(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     """Manifest of the archives written under ``folder``, each a single gzip stream."""
-    small_arrow_batches(marked.sparkSession)
+    spark = pages.sparkSession
     store, base = _open(folder)
     store.create_dir(base, recursive=True)
-    return materialise(marked.mapInArrow(_write_monolithic(folder), MANIFEST), "warc-manifest")
+    rows = _pages(pages)
+    again, classes = revisits(rows, min_bytes)
+    shared = spark.sparkContext.broadcast(bloom.build(classes.select(F.xxhash64("sha1").alias("h")), classes.count()))
+    hashed = rows.select(F.xxhash64("sha1").alias("h"), "page_id", "url", "html", "sha1")
+    columns = ["h", "page_id", "url", "html"]
+    once = hashed.select(*columns, F.lit(None).cast("long").alias("refers_to")).mapInArrow(_write_monolithic(folder, shared), MANIFEST)
+    side = again.select(F.col("page_id").alias("p"), F.col("sha1").alias("s"), "refers_to")
+    joined = hashed.mapInArrow(_repeated(shared), hashed.schema).join(side, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha1") == F.col("s")), "left")
+    return materialise(once.unionByName(joined.select(*columns, "refers_to").mapInArrow(_write_monolithic(folder), MANIFEST)), "warc-manifest")
+
+
+def _spread(manifest: DataFrame) -> DataFrame:
+    """Archives one to a partition, up to ``MAX_TASKS``."""
+    return manifest.select("archive").repartition(min(MAX_TASKS, max(1, manifest.count())))
 
 
 def _normalise(folder: str, level: int):
@@ -202,8 +236,7 @@ def normalise(manifest: DataFrame, folder: str, level: int = LEVEL) -> DataFrame
     """Manifest of the archives rewritten under ``folder`` with a gzip member per record; each has ``.idx``."""
     store, base = _open(folder)
     store.create_dir(base, recursive=True)
-    spread = manifest.select("archive").repartition(max(1, manifest.count()))
-    return materialise(spread.mapInArrow(_normalise(folder, level), MANIFEST), "warc-manifest")
+    return materialise(_spread(manifest).mapInArrow(_normalise(folder, level), MANIFEST), "warc-manifest")
 
 
 def _sidecar(archive: str) -> list[dict]:
@@ -258,13 +291,12 @@ def _records(rows: list[tuple]) -> pa.RecordBatch:
 
 def read_archives(manifest: DataFrame) -> DataFrame:
     """Records of normalised archives, read member by member through their sidecars."""
-    spread = manifest.select("archive").repartition(max(1, manifest.count()))
-    return spread.mapInArrow(_read_members, RECORDS)
+    return _spread(manifest).mapInArrow(_read_members, RECORDS)
 
 
 def op2_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_dir(spark, "warc")
-    whole = write_monolithic(mark_revisits(table(spark, sf_dir, "pages")), f"{folder}/monolithic")
+    whole = write_monolithic(table(spark, sf_dir, "pages"), f"{folder}/monolithic")
     members = normalise(whole, f"{folder}/members")
     return read_archives(members).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
