@@ -21,7 +21,7 @@ WORD = rf"[^{SPACE_CLASS}]+"
 BROADCAST_ROWS = 400_000
 #: A key of over one in ``HOT_SHARE`` rows is hot: there are at most so many of them.
 HOT_SHARE = 1000
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

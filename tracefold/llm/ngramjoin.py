@@ -12,9 +12,9 @@ sizes of two rows, ``o = ceil(t (n + m) / (1 + t))`` is the overlap that a link
    sizes: ``min >= t max``, and the shingle stands at most ``n - o`` and ``m - o`` places into its
    rows; the first common shingle of a linked pair does.
 2. Product. The overlaps of nominated pairs accumulate over two blocks of columns, rare and frequent
-   ones: (pair, shingle) rows of one side join the other side's and are counted per pair. After the
-   first block a pair is discarded unless its count and what its rows still hold in the second block
-   reach ``o``. The counts after the second block are the whole overlaps, and alone decide the links.
+   ones: in each, blocks of up to ``BLOCK`` partners meet their centre's row. After the first block a
+   pair is discarded unless its count and what its rows still hold in the second block reach ``o``.
+   The counts after the second block are the whole overlaps, and alone decide the links.
 3. Columns whose rows now lie in one component are done. In the others rows of different components
    meet, in blocks of ``BLOCK`` rows, within the same bounds; their counts accumulate per pair, and a
    pair is discarded unless its count and what its rows hold behind the last shared place reach ``o``.
@@ -55,6 +55,8 @@ SKETCH_BITS, SEGMENTS = 20, 16
 MEMO = 400_000
 #: Rows that meet at once in a block of a column, and partners of a centre in a block of the product.
 BLOCK = 1000
+#: Share of all entries in the rare block of columns, which is multiplied first.
+RARE_SHARE = 0.3
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _memo: dict[bytes, int] = {}
@@ -210,25 +212,23 @@ def product(pairs: DataFrame, known: DataFrame, shared: Shared) -> DataFrame:
     """(a, b, overlap) of those pairs (a, b, n, m) that reach the needed overlap: whole overlaps,
     accumulated over the two blocks of columns. Partners of a centre b are dealt into salted blocks."""
     spark = pairs.sparkSession
-    members = materialise(pairs.select(F.explode(F.array("a", "b")).alias("vid")).distinct(), "ngram-members")
-    shared = replace(shared, members=spark.sparkContext.broadcast(bloom.of_ids(members, members.count())))
-    # rows that repeat are one
-    rows = known.mapInArrow(_incidence(shared), "vid long, rare array<long>, common array<long>").join(members, "vid", "left_semi").dropDuplicates(["vid"])
-    rows = materialise(rows, "ngram-rows")
-    side = lambda c, *more: rows.select(F.col("vid").alias(c), *more)
-    blocks = materialise(pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "ngram-centres")
-    now = pairs.join(blocks, "b").join(side("a", F.size("common").alias("ca")), "a").join(side("b", F.size("common").alias("cb")), "b").withColumn("overlap", F.lit(0).cast("long"))
-    for block in ("rare", "common"):
-        now = materialise(now, "ngram-product")
-        partners = now.select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part")).join(side("a", block), "a").select("a", "b", "part", F.explode(block).alias("gram"))
-        centres = now.select("b", "parts").distinct().join(side("b", block), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), block).select("b", "part", F.explode(block).alias("gram"))
-        counted = partners.join(centres, ["b", "part", "gram"]).groupBy("a", "b").agg(F.count("*").alias("c"))
-        rest = F.least("ca", "cb") if block == "rare" else F.lit(0)
-        now = now.join(counted, ["a", "b"], "left").withColumn("overlap", F.col("overlap") + F.coalesce("c", F.lit(0))).drop("c")
-        now = now.filter((NUM + DEN) * (F.col("overlap") + rest) >= NUM * (F.col("n") + F.col("m")))
-    found = materialise(now.select("a", "b", "overlap"), "ngram-links")
+    members = pairs.select(F.explode(F.array("a", "b")).alias("vid")).distinct()
+    members, some = cut_with(members, "ngram-members", n=F.count("*"))
+    shared = replace(shared, members=spark.sparkContext.broadcast(bloom.of_ids(members, some["n"])))
+    rows = materialise(known.mapInArrow(_incidence(shared), "vid long, rare array<long>, common array<long>"), "ngram-rows")
+    sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    now = materialise(pairs.join(sizes, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).withColumn("overlap", F.lit(0).cast("long")), "ngram-product")
+    for block, rest in (("rare", "common"), ("common", None)):
+        left = F.size(rest) if rest else F.lit(0)
+        partners = now.join(rows.select(F.col("vid").alias("a"), F.col(block).alias("x"), left.alias("xs")), "a")
+        centres = now.select("b", "parts").distinct().join(rows.select(F.col("vid").alias("b"), F.col(block).alias("y"), left.alias("ys")), "b")
+        centres = centres.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "y", "ys")
+        met = partners.join(centres, ["b", "part"]).withColumn("overlap", F.col("overlap") + F.size(F.array_intersect("x", "y")))
+        met = met.filter((NUM + DEN) * (F.col("overlap") + F.least("xs", "ys")) >= NUM * (F.col("n") + F.col("m")))
+        # rows that repeat are one
+        now = materialise(met.groupBy("a", "b", "n", "m", "part", "parts").agg(F.max("overlap").alias("overlap")), "ngram-product")
     release(rows)
-    return found
+    return now.select("a", "b", "overlap")
 
 
 def _sketch(sets: DataFrame) -> np.ndarray:
@@ -240,11 +240,11 @@ def _sketch(sets: DataFrame) -> np.ndarray:
     return sketch
 
 
-def _median_count(sketch: np.ndarray) -> int:
-    """The count up to which half of all entries lie."""
+def _rare_count(sketch: np.ndarray) -> int:
+    """The count up to which ``RARE_SHARE`` of all entries lie."""
     counts = np.sort(sketch)
     total = np.cumsum(counts, dtype=np.float64)
-    return int(counts[np.searchsorted(total, total[-1] / 2)]) if total[-1] else 0
+    return int(counts[np.searchsorted(total, RARE_SHARE * total[-1])]) if total[-1] else 0
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -265,7 +265,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     repeated, again = cut_with(held.groupBy("doc_id").agg(F.min("digest").alias("d"), F.max("digest").alias("e")).filter("d != e").select("doc_id"), "ngram-repeated", n=F.count("*"))
     shared = Shared(
         share(sketch.tobytes()), share(bloom.of_digests(classes.select("digest"), many["n"])), share(bloom.of_ids(repeated, again["n"])),
-        max(BLOCK, seen["n"] // HOT_SHARE), _median_count(sketch),
+        max(BLOCK, seen["n"] // HOT_SHARE), _rare_count(sketch),
     )
 
     # columns with two rows or more, each with its centre
