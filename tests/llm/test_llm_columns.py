@@ -236,6 +236,63 @@ def test_pii_bootstraps_contexts(spark):
     assert pii.personal_data(docs(spark, texts).filter("false")).count() == 0
 
 
+def brute_contexts(texts):
+    """{text: contextual spans} by patterns and scores over plain dictionaries."""
+    seen = []
+    for t in set(texts):
+        taken = [(a, b) for a, _, b in brute_pii(t)]
+        found = [(a, b, 1) for a, b in taken]
+        for m in re.finditer(r"\S+", t):
+            a = m.start() + len(m.group()) - len(m.group().lstrip("\"'([{<,;:=."))
+            b = m.end() - len(m.group()) + len(m.group().rstrip("\"')]}>,;:=.!?"))
+            if re.search("[0-9@_]", m.group()) and not any(x < b and y > a for x, y in taken):
+                found.append((a, b, 0))
+        for a, b, seed in found:
+            left, right = t[:a].split(), t[b:].split()
+            if right and not t[b].isspace():
+                right = right[1:]  # the rest of the place's own word
+            ps = {("L", *left[-2:])} if len(left) > 1 else set()
+            ps |= {("l", left[-1])} if left and left[-1][-1] in ":=" else set()
+            ps |= {("R", *right[:2])} if len(right) > 1 else set()
+            ps |= {("M", left[-1], right[0])} if left and right else set()
+            seen.append((t, a, b, seed, t[a:b].lower(), {tuple(x.lower() for x in p) for p in ps}))
+    edges = {(p, i): max(s for _, _, _, s, j, qs in seen if j == i and p in qs) for _, _, _, _, i, ps in seen for p in ps}
+    size = {p: sum(q == p for q, _ in edges) for p, _ in edges}
+    edges = {k: s for k, s in edges.items() if size[k[0]] >= 3}
+    score = {i: float(max(s for (_, j), s in edges.items() if j == i)) for _, i in edges}
+    seed = dict(score)
+    while True:
+        trust = {}
+        for p in {p for p, _ in edges}:
+            xs = [score[i] for q, i in edges if q == p]
+            if sum(xs) >= 3 and sum(xs) / len(xs) >= 0.6:
+                trust[p] = sum(xs) / len(xs)
+        new = {}
+        for i in score:
+            doubt = 1.0
+            for q, j in edges:
+                if j == i:
+                    doubt *= max(1 - trust.get(q, 0.0), 1e-12)
+            new[i] = max(seed[i], 1 - doubt)
+        if all(abs(new[i] - score[i]) < 1e-9 for i in new):
+            break
+        score = new
+    return {t: sorted({(a, b) for u, a, b, s, i, ps in seen if u == t and not s and score.get(i, 0) >= 0.6 and ps & set(trust)}) for t in set(texts)}
+
+
+def test_pii_contexts_match_brute_force(spark):
+    rng, texts = random.Random(8), []
+    for k in range(30):
+        who = rng.choice([f"u{k}@mail.example.org", f"user_{k}", f"10.0.0.{k}", f"x{k}", f"+49 30 {1000000 + k}"])
+        texts.append(rng.choice(["write to {} or call", "Contact: {} now please", "the address is {}, thanks a lot", "item {} of 9 pages", "id={} given to all"]).format(who))
+    texts += ["alpha " + "y" * 120 + f": z{k}@q.org" for k in range(4)] + ["alpha " + "y" * 120 + ": q_1", "beta " + "y" * 120 + ": q_2", "see 7", "see 8_", "@", "_", None, "", texts[0]]
+    given = docs(spark, texts)
+    got = {r.doc_id: r.s for r in pii.personal_data(given.union(given.filter("doc_id = 3"))).withColumn("s", pii.joined(F.filter("found", lambda x: x["kind"] == 4))).collect()}
+    expect = brute_contexts([t or "" for t in texts])
+    assert {k: got[k] for k in range(len(texts))} == {k: ",".join(f"ctx:{a}:{b}" for a, b in expect[t or ""]) for k, t in enumerate(texts)}
+    assert sum(map(len, expect.values())) >= 3 and expect[texts[34]]
+
+
 ODD = ["aaaa" * 300, "I'LL we've 's", "\r\n\r\n  a \t b", "0123456789" * 60, "日本語" * 120, " " * 70 + "x", "\x1c\x1f q", "abc" * 500 + "é", "".join(random.Random(3).choice("etaoin") for _ in range(1500))]
 
 
@@ -257,6 +314,14 @@ def test_bpe_is_tiktoken(spark):
     assert bpe.bpe_round_trip(docs(spark, texts).filter("false"), path, pattern).count() == 0
 
 
+def test_bpe_decode_of_unknown_ids_is_an_error(spark):
+    path, pattern = bpe.default_vocabulary()
+    given = spark.createDataFrame([(1, [0, 999_999, 1], "clash")], "doc_id long, ids array<int>, decoded string")
+    with pytest.raises(Exception, match="lacks"):
+        bpe.bpe_decode(given, path, pattern).collect()
+    assert bpe.bpe_decode(given.withColumn("ids", F.array(F.lit(0), F.lit(1))), path, pattern).first().decoded is not None
+
+
 def test_bpe_long_pieces_are_exact():
     path, pattern = bpe.default_vocabulary()
     codec = bpe.Codec(bpe.read_vocabulary(path), pattern)

@@ -3,13 +3,13 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracefold.llm import linededup, mixing, ngramjoin, rollup
+from tracefold.llm import bpe, linededup, mixing, ngramjoin, rollup
 from tracefold.llm.common import fresh_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_dropped string"
@@ -165,6 +165,36 @@ def test_mixing_reaches_targets(spark):
     assert {r.doc_id for r in again.filter("sampled").collect()} == {r.doc_id for r in out.filter("sampled").collect()}
 
 
+def test_mixing_refuses_targets_that_do_not_fit(spark):
+    given = docs(spark, [(k, "some words here") for k in range(6)])
+    share = lambda d, x: spark.createDataFrame(list(x.items()), f"{d} string, target double")
+    with pytest.raises(ValueError, match="has no target"):
+        mixing.mix(given, {"source": share("source", {"src0": 0.5, "src1": 0.5})})
+    with pytest.raises(ValueError, match="no tokens"):
+        mixing.mix(given, {"lang": share("lang", {"en": 0.5, "xx": 0.5})})
+    cells = spark.createDataFrame([("a", "x", "t", 5), ("b", "y", "t", 5)], "source string, lang string, topic string, tokens long")
+    _, off = mixing.rake(cells, {"source": share("source", {"a": 0.5, "b": 0.5}), "lang": share("lang", {"x": 0.9, "y": 0.1})})
+    assert off > 0.1  # no weights meet both; the error is told
+
+
+def test_mixing_fits_topics_and_takes_odd_rows(spark):
+    rows = [(k, "the of and " + " ".join([["wind", "rain"][k % 2]] * (1 + k % 3)) + (" wind rain" if k % 5 == 0 else "") + (" rare" if k < 3 else ""), "en", "s", 0, "x") for k in range(40)]
+    rows += [(100 + k, "la mer", "fr", None, 0, "x") for k in range(400)] + [(7, rows[7][1], "en", "s", 0, "x"), (None, "", None, "s", 0, "x"), (999, "wind " * 40_000, "en", "s", 0, "x")]
+    given = spark.createDataFrame(rows, SCHEMA).withColumn("weight", F.lit("clash")).withColumn("sampled", F.lit("clash")).withColumn("tokens", F.lit("clash"))
+    anchors = {r.lang: r.anchors for r in mixing.fit_anchors(given.filter("doc_id < 40 OR lang = 'fr'")).collect()}
+    assert anchors == {"en": ["rare"]}  # every other word is in over a tenth of its language's texts
+    out = mixing.mix(given.withColumn("lang", F.lit("en"))).collect()
+    assert len(out) == len(rows) and {r.topic for r in out if r.doc_id and 100 <= r.doc_id < 500} == {"(other)"}
+    seven = [r for r in out if r.doc_id == 7]
+    assert len(seven) == 2 and seven[0] == seven[1] and [r.tokens for r in out if r.doc_id == 999] == [40_000]
+    df = Counter(w for r in rows for w in set((r[1] or "").split()))
+    best = sorted((w for w in df if df[w] * 10 <= len(rows)), key=lambda w: (-df[w], w))[:4]
+    for r, (k, text, *_) in zip(sorted(out, key=lambda r: (str(r.doc_id), r.tokens)), sorted(rows, key=lambda r: (str(r[0]), len((r[1] or "").split()))), strict=True):
+        n = Counter((text or "").split())
+        top = max((n[w], -j) for j, w in enumerate(best))
+        assert (r.doc_id, r.topic) == (k, f"topic{top[1] - 1}" if top[0] else "(other)")
+
+
 def test_mixing_empty_table(spark):
     assert mixing.mix(docs(spark, [(1, "a")]).filter("false")).count() == 0
 
@@ -188,6 +218,33 @@ def test_rollup_commits_once(spark):
         store.commit("a/b", first)
 
 
+def test_rollup_compaction_keeps_totals_and_refuses_old_batches(spark):
+    store = rollup.TokenRollup(spark, fresh_dir(spark, "t-rollup"))
+    change = lambda n: spark.createDataFrame([("insert", "s", "en", "v", None, n)], "op string, source string, lang string, version string, old_tokens long, new_tokens long")
+    assert not store.compact() and store.commit("a", change(1)) and store.commit("b", change(2))
+    assert store.compact() and not store.committed() and not store.compact()
+    assert not store.commit("a", change(1)) and store.commit("c", change(4)) and store.has("b")
+    assert [tuple(r) for r in store.totals().collect()] == [("s", "en", "v", 3, 7)]
+    # a late writer of a folded batch leaves a marker that doesn't count
+    rollup.signed_deltas(change(100)).write.parquet(f"{store.path}/deltas/late")
+    store._mark("commits", "a@late")
+    assert store.compact() and [tuple(r) for r in store.totals().collect()] == [("s", "en", "v", 3, 7)]
+    # a snapshot without its marker doesn't count either
+    change(9).write.parquet(f"{store.path}/totals/lost")
+    assert [tuple(r) for r in store.totals().collect()] == [("s", "en", "v", 3, 7)]
+
+
+def test_rollup_counts_are_those_of_the_encoder(spark):
+    rows = [(1, "the same line\nother words\nthe same line"), (2, None), (3, ""), (4, "naïve 日本語 " * 50), (4, "naïve 日本語 " * 50), (None, "x" * 30_000), (5, "a\r\n\r\n b")]
+    got = rollup.counted(docs(spark, rows)).collect()
+    for version, (path, pattern) in rollup.default_tokenizers().items():
+        coder = bpe.Codec(bpe.read_vocabulary(path), pattern)
+        n = lambda t: len(coder.encode([t])[0]) // 4
+        expect = sorted(((k, n(t or ""), n("\n".join(dict.fromkeys((t or "").split("\n"))))) for k, t in rows), key=str)
+        assert sorted(((r.doc_id, r.tokens, r.trimmed) for r in got if r.version == version), key=str) == expect
+    assert rollup.counted(docs(spark, rows).filter("false")).count() == 0
+
+
 def test_pipeline_matches_brute_force(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     import tiktoken

@@ -1,35 +1,43 @@
 """Personal data: base patterns, then contextual patterns bootstrapped from them.
 
 1. One pass over the texts finds the base spans (email, ip, card, phone) and, for every base span
-   and every other identifier-like token (it holds a digit, ``@`` or ``_``), its left contexts: the
-   two words before it, and the word before it where that ends as a label (``:`` or ``=``).
-2. Spark builds the graph of contexts and instances, distinct and with map-side combining, and
-   scores it in rounds: a context's confidence is the mean score of its instances, an instance's
-   score is noisy-or over its contexts; base entities score 1.
-3. Occurrences that a confident context introduces and that score high are new spans, ``ctx``.
-
-Base spans are never changed. Every context counts over the whole corpus; contexts of fewer than
-``MIN_SUPPORT`` distinct instances can't become confident and leave the graph before the rounds.
-
-Spans are code points, end exclusive. Defined results: null or empty text has no spans. Null ids and
-repeated rows pass through; equal rows get equal spans. Other columns are not carried.
+   and every other identifier-like token (it holds a digit, ``@`` or ``_``), the lexical patterns
+   around it: the two words before, the word before where that ends as a label (``:`` or ``=``), the
+   two words behind, and the word on either side. Words are taken whole, however long; patterns of
+   over ``PATTERN_CHARS`` characters stand as their digest.
+2. Spark builds the graph of patterns and instances, distinct and with map-side combining, and
+   scores it in rounds: a pattern's confidence is the mean score of its instances, an instance's
+   score is noisy-or over its patterns; base entities score 1. Scores only rise, and the rounds end
+   when neither the confident patterns nor their confidence (to four decimals) change.
+3. Occurrences that a confident pattern surrounds and that score high are new spans, ``ctx``.
+
+Base spans are never changed. Every pattern counts over the whole corpus; patterns of fewer than
+``MIN_SUPPORT`` distinct instances can't become confident and leave the graph before the rounds. Rows
+of hot patterns and instances are salted in every join.
+
+Spans are code points, end exclusive; ties in start are ordered by kind and end. Defined results: null
+or empty text has no spans. Null ids and repeated rows pass through; equal texts get equal spans. An
+empty table gives no rows. A very long text is one row. Other columns, whatever their names, are not
+carried.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import materialise, maybe_broadcast, pieces, table
+from tracefold.llm.common import materialise, maybe_broadcast, pieces, salted_join, table
+from tracefold.storage import cut_with
 
 KINDS = ("email", "ip", "card", "phone")
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_SCORE, ROUNDS = 3.0, 0.6, 0.6, 3
-CONTEXT_CHARS = 96
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_SCORE = 3.0, 0.6, 0.6
+PATTERN_CHARS = 64
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -82,15 +90,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def contexts(text: str, start: int) -> list[str]:
-    """Left contexts of what starts at ``start``."""
-    before = text[max(0, start - CONTEXT_CHARS) : start].lower().split()
-    if not before:
-        return []
-    out = [" ".join(before[-2:])] if len(before) > 1 else []
-    if before[-1][-1] in ":=":
-        out.append(before[-1])
-    return out
+class Words:
+    """Tokens of a text, for the patterns around its places."""
+
+    def __init__(self, text: str):
+        self.text = text
+        at = [m.span() for m in _TOKEN.finditer(text)]
+        self.starts, self.ends = [s for s, _ in at], [e for _, e in at]
+
+    def _word(self, k: int, to: int | None = None) -> str:
+        return self.text[self.starts[k] : self.ends[k] if to is None else min(self.ends[k], to)]
+
+    def patterns(self, start: int, end: int) -> list[str]:
+        """Lexical patterns around the place, each once; the token it stands in counts up to it."""
+        k, n = bisect_left(self.starts, start) - 1, bisect_left(self.starts, end)
+        before = ([self._word(k - 1)] if k > 0 else []) + ([self._word(k, start)] if k >= 0 else [])
+        behind = [self._word(j) for j in range(n, min(n + 2, len(self.starts)))]
+        out = []
+        if len(before) == 2:
+            out.append(f"L {before[0]} {before[1]}")
+        if before and before[-1][-1] in ":=":
+            out.append(f"l {before[-1]}")
+        if len(behind) == 2:
+            out.append(f"R {behind[0]} {behind[1]}")
+        if before and behind:
+            out.append(f"M {before[-1]} {behind[0]}")
+        return [p if len(p) <= PATTERN_CHARS else "#" + hashlib.blake2b(p.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() for p in map(str.lower, out)]
 
 
 def identifiers(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -105,8 +130,6 @@ def identifiers(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
             continue
         start = m.start() + len(token) - len(token.lstrip("\"'([{<,;:=."))
         end = m.end() - (len(token) - len(token.rstrip("\"')]}>,;:=.!?")))
-        if end - start < 4:
-            continue
         while k < len(ends) and ends[k][1] <= start:
             k += 1
         if k == len(ends) or ends[k][0] >= end:
@@ -119,48 +142,58 @@ _BASE_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("
 _SEEN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("seed", pa.int32()), ("instance", pa.string()), ("contexts", pa.list_(pa.string()))]))
 
 
+def places(text: str) -> tuple[list[tuple[int, int, int]], list[dict]]:
+    """Base spans of a text, and its base and identifier places with the patterns around them."""
+    base = base_spans(text)
+    found = [(s, e, 1) for s, _, e in base] + [(s, e, 0) for s, e in identifiers(text, base)]
+    words = Words(text) if found else None
+    return base, [{"start": s, "end": e, "seed": seed, "instance": text[s:e].lower(), "contexts": c} for s, e, seed in found if (c := words.patterns(s, e))]
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         keys, bases, seens = [], [], []
         for text in batch.column(1).to_pylist():
             text = text or ""
             keys.append(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
-            base = base_spans(text)
+            base, seen = places(text)
             bases.append([{"start": s, "kind": k, "end": e} for s, k, e in base])
-            places = [(s, e, 1) for s, _, e in base] + [(s, e, 0) for s, e in identifiers(text, base)]
-            seens.append([{"start": s, "end": e, "seed": seed, "instance": text[s:e].lower(), "contexts": c} for s, e, seed in places if (c := contexts(text, s))])
+            seens.append(seen)
         yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "key": pa.array(keys, pa.binary()), "base": pa.array(bases, _BASE_TYPE), "seen": pa.array(seens, _SEEN_TYPE)})
 
 
-def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def score_graph(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(context, confidence) and (instance, score) from distinct (context, instance, seed) edges."""
-    supported = edges.groupBy("context").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_SUPPORT).select("context")
-    edges = materialise(edges.join(maybe_broadcast(supported), "context", "left_semi"), "pii-edges")
-    scores = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("score"))
-    confident = None
-    for _ in range(rounds):
-        confident = materialise(
-            edges.join(scores, "instance").groupBy("context").agg(F.avg("score").alias("confidence"), F.sum("score").alias("support"))
-            .filter((F.col("support") >= MIN_SUPPORT) & (F.col("confidence") >= MIN_CONFIDENCE)).select("context", "confidence"),
-            "pii-contexts",
-        )
+    edges, seen = cut_with(edges, "pii-edges", n=F.count("*"))
+    supported = materialise(edges.groupBy("context").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_SUPPORT), "pii-supported")
+    edges, seen = cut_with(salted_join(edges, supported, "context", seen["n"], "instance"), "pii-edges", n=F.count("*"))
+    scores = materialise(edges.groupBy("instance").agg(F.max("seed").cast("double").alias("score"), F.count("*").alias("n")), "pii-instances")
+    before = None
+    while True:
+        scored = salted_join(edges, scores, "instance", seen["n"], "context")
+        confident = scored.groupBy("context").agg(F.avg("score").alias("confidence"), F.sum("score").alias("support"), F.count("*").alias("n"))
+        confident = confident.filter((F.col("support") >= MIN_SUPPORT) & (F.col("confidence") >= MIN_CONFIDENCE)).select("context", "confidence", "n")
+        confident, now = cut_with(confident, "pii-contexts", n=F.count("*"), s=F.sum(F.round("confidence", 4).cast("decimal(20,4)")))
+        if now == before:
+            return confident, scores
+        before = now
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.coalesce("confidence", F.lit(0.0)), F.lit(1e-12)))))
-        scores = materialise(
-            edges.join(maybe_broadcast(confident), "context", "left").groupBy("instance").agg(F.greatest(F.max("seed").cast("double"), 1 - doubt).alias("score")),
-            "pii-instances",
-        )
-    return confident, scores
+        joined = salted_join(edges, confident, "context", seen["n"], "instance", "left")
+        scores = materialise(joined.groupBy("instance").agg(F.greatest(F.max("seed").cast("double"), 1 - doubt).alias("score"), F.count("*").alias("n")), "pii-instances")
 
 
-def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, base, found): base spans, and base and contextual spans together, in order."""
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = materialise(texts.mapInArrow(_scan, _ROW), "pii-rows")
-    places = rows.filter(F.size("seen") > 0).select("doc_id", "key", F.explode("seen").alias("s")).select("doc_id", "key", "s.*")
-    edges = places.select(F.explode("contexts").alias("context"), "instance", "seed").groupBy("context", "instance").agg(F.max("seed").alias("seed"))
-    confident, scores = score_graph(edges, rounds)
-    new = places.filter("seed = 0").select("key", "start", "end", "instance", F.explode("contexts").alias("context")).distinct()
-    new = new.join(maybe_broadcast(confident), "context", "left_semi").join(maybe_broadcast(scores.filter(F.col("score") >= MIN_SCORE)), "instance", "left_semi")
+    held = rows.filter(F.size("seen") > 0).select("key", F.explode("seen").alias("s")).select("key", "s.*")
+    edges = held.select(F.explode("contexts").alias("context"), "instance", "seed").groupBy("context", "instance").agg(F.max("seed").alias("seed"))
+    confident, scores = score_graph(edges)
+    # per (context, instance) once, and per text once, before they meet
+    wanted = edges.filter("seed = 0").join(maybe_broadcast(confident.select("context")), "context", "left_semi").join(maybe_broadcast(scores.filter(F.col("score") >= MIN_SCORE).select("instance")), "instance", "left_semi")
+    wanted = materialise(wanted.select("context", "instance"), "pii-wanted")
+    new = held.filter("seed = 0").select("key", "start", "end", "instance", F.explode("contexts").alias("context")).distinct()
+    new = new.join(maybe_broadcast(wanted), ["context", "instance"], "left_semi")
     extra = new.groupBy("key").agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end")).alias("extra"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     return rows.select("doc_id", "key", "base").join(maybe_broadcast(extra), "key", "left").select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("extra", none))).alias("found"))
@@ -177,4 +210,7 @@ def _count_of(kind: int) -> Column:
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", *[_count_of(k) for k in range(len(KINDS))], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+    return found.select(
+        "doc_id", *[_count_of(k) for k in range(len(KINDS))], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"),
+        (F.size("found") > 0).alias("has_personal_data"),
+    )

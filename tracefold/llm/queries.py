@@ -9,7 +9,7 @@ from tracefold.llm.mixing import OP4_SQL, op4_mix_sources
 from tracefold.llm.ngramjoin import op7_ngram_jaccard
 from tracefold.llm.pii import op8_personal_data
 from tracefold.llm.quality import OP10_SQL, op10_quality_rules
-from tracefold.llm.rollup import OP6_SQL, op6_token_rollup
+from tracefold.llm.rollup import op6_token_rollup
 from tracefold.llm.secrets import OP5_SQL, op5_secret_scan
 from tracefold.llm.warc import OP2_SQL, op2_warc_normalise
 
@@ -31,6 +31,5 @@ ORACLES = {
     "op3_line_dedup": OP3_SQL,
     "op4_mix_sources": OP4_SQL,
     "op5_secret_scan": OP5_SQL,
-    "op6_token_rollup": OP6_SQL,
     "op10_quality_rules": OP10_SQL,
 }
