@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import WORD, let, materialise, maybe_broadcast, table, text_or_empty, words_of
+from tracefold.llm.common import SPACE_CLASS, WORD, let, materialise, maybe_broadcast, table, text_or_empty
 from tracefold.storage import cut_with, release
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -35,22 +35,33 @@ TOPICS, COMMON = 4, 10
 NONE, OTHER = "(none)", "(other)"
 
 
+def lower_words(text: str) -> Column:
+    """Lower-case words, with an empty one in front or behind where white space stands there. Only
+    whole-array functions are used on it: lambdas over every word of a corpus are several times dearer."""
+    return F.split(F.lower(text_or_empty(text)), f"[{SPACE_CLASS}]+", -1)
+
+
+def n_words(words: Column) -> Column:
+    empty = lambda x: F.when(x == "", 1).otherwise(0)
+    behind = F.when(F.size(words) > 1, empty(F.element_at(words, -1))).otherwise(0)
+    return (F.size(words) - empty(F.get(words, F.lit(0))) - behind).cast("long")
+
+
 def fit_anchors(docs: DataFrame, text: str = "text", lang: str = "lang", topics: int = TOPICS) -> DataFrame:
     """(lang, anchors): up to ``topics`` words of every language by document frequency over all of ``docs``."""
     named = F.coalesce(F.col(lang).cast("string"), F.lit(NONE)).alias("lang")
-    held = docs.select(named, F.explode(F.array_distinct(words_of(F.lower(text_or_empty(text))))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("df"))
+    held = docs.select(named, F.explode(F.array_distinct(lower_words(text))).alias("word")).filter("word != ''").groupBy("lang", "word").agg(F.count("*").alias("df"))
     size = docs.groupBy(named).agg(F.count("*").alias("size"))
     order = Window.partitionBy("lang").orderBy(F.col("df").desc(), "word")
     top = held.join(size, "lang").filter(F.col("df") * COMMON <= F.col("size")).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= topics)
     return materialise(top.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "word"))), lambda x: x["word"]).alias("anchors")), "mix-anchors")
 
 
-def topic_of(words: Column, anchors: Column) -> Column:
+def topic_of(words: Column, anchors: Column, topics: int = TOPICS) -> Column:
     """The place of the most frequent of ``anchors`` among lower-case ``words``."""
-    count = lambda hits, k: F.struct(F.size(F.filter(hits, lambda x: x == F.get(anchors, k - 1))).alias("n"), (-k).alias("k"))
-    best = lambda hits: F.array_max(F.transform(F.sequence(F.lit(1), F.size(anchors)), lambda k: count(hits, k)))["k"]
-    named = lambda hits: F.when(F.size(hits) > 0, F.concat(F.lit("topic"), best(hits).cast("string"))).otherwise(OTHER)
-    return F.when(anchors.isNull(), OTHER).otherwise(let(F.filter(words, lambda x: F.array_contains(anchors, x)), named))
+    count = lambda k: F.coalesce(F.size(words) - F.size(F.array_remove(words, F.get(anchors, F.lit(k)))), F.lit(0))
+    counts = F.array(*[F.struct(F.when(F.get(anchors, F.lit(k)).isNull(), 0).otherwise(count(k)).alias("n"), F.lit(-1 - k).alias("k")) for k in range(topics)])
+    return let(F.array_max(counts), lambda best: F.when(best["n"] > 0, F.concat(F.lit("topic"), best["k"].cast("string"))).otherwise(OTHER))
 
 
 def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
@@ -114,13 +125,13 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: fl
     own = ("tokens", "weight", "probability", "sampled")
     names = [c for c in keep or docs.columns if c not in own and c != "topic"]
     given = "topic" in docs.columns
-    words = words_of(F.lower(text_or_empty(text)))
+    words = lower_words(text)
     if given:
-        counted = docs.select(*names, F.coalesce(F.col("topic").cast("string"), F.lit(NONE)).alias("topic"), F.size(words).cast("long").alias("tokens"))
+        counted = docs.select(*names, F.coalesce(F.col("topic").cast("string"), F.lit(NONE)).alias("topic"), n_words(words).alias("tokens"))
     else:
         anchors = maybe_broadcast(fit_anchors(docs, text).withColumnRenamed("lang", "__lang").withColumnRenamed("anchors", "__anchors"))
         joined = docs.join(anchors, F.coalesce(F.col("lang").cast("string"), F.lit(NONE)) == F.col("__lang"), "left")
-        facts = let(words, lambda w: F.struct(F.size(w).cast("long").alias("tokens"), topic_of(w, F.col("__anchors")).alias("topic")))
+        facts = let(words, lambda w: F.struct(n_words(w).alias("tokens"), topic_of(w, F.col("__anchors")).alias("topic")))
         counted = joined.select(*docs.columns, facts.alias("__f")).select(*names, F.col("__f.topic").alias("topic"), F.col("__f.tokens").alias("tokens"))
     counted = materialise(counted, "mix-counted")
     keys = [F.coalesce(F.col(c).cast("string"), F.lit(NONE)).alias(c) for c in DIMENSIONS]
