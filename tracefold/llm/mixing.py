@@ -51,7 +51,7 @@ def fit_anchors(docs: DataFrame, text: str = "text", lang: str = "lang", topics:
     """(lang, anchors): up to ``topics`` words of every language by document frequency over all of ``docs``."""
     named = F.coalesce(F.col(lang).cast("string"), F.lit(NONE)).alias("lang")
     held = docs.select(named, F.explode(F.array_distinct(lower_words(text))).alias("word")).filter("word != ''").groupBy("lang", "word").agg(F.count("*").alias("df"))
-    size = docs.groupBy(named).agg(F.count("*").alias("size"))
+    size = maybe_broadcast(materialise(docs.groupBy(named).agg(F.count("*").alias("size")), "mix-languages"))
     order = Window.partitionBy("lang").orderBy(F.col("df").desc(), "word")
     top = held.join(size, "lang").filter(F.col("df") * COMMON <= F.col("size")).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= topics)
     return materialise(top.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "word"))), lambda x: x["word"]).alias("anchors")), "mix-anchors")
