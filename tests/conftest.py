@@ -11,8 +11,8 @@ def spark():
     from pyspark.sql import SparkSession
 
     session = (
-        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "3g").getOrCreate()
+        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "2").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.codegen.wholeStage", "false").config("spark.driver.memory", "3g").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -48,7 +48,7 @@ def test_simple_paths_have_no_limit_of_length(spark):
 
 
 def test_registered_best_paths(spark):
-    p = catalog.Paths(spark, SMALL)
+    p = catalog.Graph(spark, SMALL)
     from tracefold.operators import summary
 
     expect, best = all_paths(summary.edge_weights(p.inner, p.at), p.inputs, p.outputs), {}
@@ -57,8 +57,8 @@ def test_registered_best_paths(spark):
         if (key := (c, path[0], path[-1])) in pairs:
             best[key] = min(best.get(key, (math.inf,)), (-round(score, 9), len(path) - 1, " ".join(path)))
     assert max(hops for _, hops, _ in best.values()) > 4
-    assert rows(catalog._PATHS["simple_paths"](p), "community", "path") == sorted((c, " ".join(path)) for c, path in expect)
-    assert rows(catalog._PATHS["infopath_best"](p), "community", "input", "output", "hops", "path") == sorted((*k, hops, text) for k, (_, hops, text) in best.items())
+    assert rows(catalog._QUERIES["simple_paths"](p), "community", "path") == sorted((c, " ".join(path)) for c, path in expect)
+    assert rows(catalog._QUERIES["infopath_best"](p), "community", "input", "output", "hops", "path") == sorted((*k, hops, text) for k, (_, hops, text) in best.items())
 
 
 def test_summary_follows_long_paths(spark):

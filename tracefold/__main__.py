@@ -1,4 +1,4 @@
-"""``python -m tracefold LOG POI [--format json|text|parquet] [--out FOLDER]``
+"""``python -m tracefold LOG POI [--format json|text|parquet] [--communities lineage|learned] [--out FOLDER]``
 
 Traces the causal history of the node POI (at its last event) through the audit log and writes
 communities, paths and graphs.
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tracefold.operators.graph import flow_edges
 from tracefold.plans.summarise import summarise, write_summary
 from tracefold.sources.audit import read_audit_log
+from tracefold.storage import clean
 
 
 def main(args: list[str] | None = None) -> None:
@@ -21,6 +22,7 @@ def main(args: list[str] | None = None) -> None:
     parser.add_argument("log")
     parser.add_argument("poi")
     parser.add_argument("--format", default="json", choices=("json", "text", "parquet"))
+    parser.add_argument("--communities", default="lineage", choices=("lineage", "learned"))
     parser.add_argument("--out", default="summary-out")
     given = parser.parse_args(args)
     spark = SparkSession.builder.appName("tracefold").config("spark.sql.session.timeZone", "UTC").getOrCreate()
@@ -29,8 +31,9 @@ def main(args: list[str] | None = None) -> None:
     poi = flow.filter(F.col("dst") == given.poi).agg(F.max("ts").alias("ts")).filter("ts IS NOT NULL").select(F.lit(given.poi).alias("node"), "ts")
     if poi.isEmpty():
         raise SystemExit(f"no event reaches {given.poi!r}")
-    write_summary(summarise(flow, poi), given.out)
+    write_summary(summarise(flow, poi, given.communities == "learned"), given.out)
     bad.write.mode("overwrite").text(f"{given.out}/quarantine")
+    clean(spark)
 
 
 if __name__ == "__main__":

@@ -11,21 +11,23 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracefold.functions.labels import node_type
+from tracefold.functions.labels import BETWEEN_PROCESSES, node_type
 from tracefold.operators.components import connected_components
-from tracefold.storage import cut
-from tracefold.operators.graph import accesses, induced, lineage
+from tracefold.storage import cut, cut_with, release
+from tracefold.operators.graph import accesses, lineage, numbered
 
 
 def lineage_communities(merged: DataFrame) -> DataFrame:
     """(community, proc): processes of one parent that are related through shared resources.
 
     Children and (parent, resource) pairs form a bipartite graph whose components are the
-    communities, so that a resource of a million processes costs a million edges, not their pairs.
+    communities, so that a resource of a million processes costs a million edges, not their pairs. A
+    child that touches no resource is related to no other one: it is a community of its own.
     """
     children = lineage(merged)
-    touched = children.join(accesses(merged).withColumnRenamed("proc", "child"), "child")
-    edges = touched.select(F.concat(F.lit("p\x00"), "parent", F.lit("\x00"), "child").alias("src"), F.concat(F.lit("r\x00"), "parent", F.lit("\x00"), "resource").alias("dst"))
+    child = F.concat(F.lit("p\x00"), "parent", F.lit("\x00"), "child")
+    touched = children.join(accesses(merged).withColumnRenamed("proc", "child"), "child", "left")
+    edges = touched.select(child.alias("src"), F.coalesce(F.concat(F.lit("r\x00"), "parent", F.lit("\x00"), "resource"), child).alias("dst"))
     found = connected_components(edges).filter(F.col("node").startswith("p\x00"))
     part = lambda c, k: F.get(F.split(c, "\x00"), F.lit(k))
     return found.select(F.concat(part(F.col("component"), 1), F.lit("/"), part(F.col("component"), 2)).alias("community"), part(F.col("node"), 2).alias("proc"))
@@ -40,10 +42,6 @@ def membership(merged: DataFrame, communities: DataFrame) -> DataFrame:
     return rows.withColumn("type", node_type(F.col("nid")))
 
 
-def community_edges(merged: DataFrame, members: DataFrame) -> DataFrame:
-    return induced(merged, members)
-
-
 def shared_nodes(members: DataFrame) -> DataFrame:
     """(nid, n_communities) of nodes in two communities or more."""
     return members.groupBy("nid").agg(F.countDistinct("community").alias("n_communities")).filter("n_communities > 1")
@@ -60,90 +58,156 @@ def portable_hash(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long")
 
 
-def random_walks(merged: DataFrame, steps: int = 4, walks: int = 1, seed: str = "walk-1") -> DataFrame:
-    """(walk, step, node): seeded walks over undirected neighbours from every process.
+def random_walks(merged: DataFrame, steps: int = 8, walks: int = 2, seed: str = "walk-1", lineage_weight: int = 3) -> DataFrame:
+    """(walk, step, node): seeded walks over undirected neighbours from every process, guided by
+    lineage: a parent or child is ``lineage_weight`` times as likely as another neighbour.
 
-    A step joins (node, index): the neighbour's index is a hash of walk and step modulo the degree, so
-    that a walker at a hub costs one row and not the hub's whole adjacency.
+    Every neighbour has a slot or ``lineage_weight`` of them, numbered within its node. A step joins
+    (node, slot): a hash of walk and step modulo the number of slots, so that a walker at a hub costs
+    one row and not the hub's whole adjacency.
     """
-    pairs = merged.select(F.col("src").alias("node"), F.col("dst").alias("next")).union(merged.select("dst", "src")).distinct()
-    ranked = cut(pairs.withColumn("index", F.row_number().over(Window.partitionBy("node").orderBy("next")) - 1), "adjacency")
-    degrees = ranked.groupBy("node").agg(F.count("*").alias("degree"))
+    weight = F.when(F.col("op").isin(*BETWEEN_PROCESSES), lineage_weight).otherwise(1).alias("w")
+    pairs = merged.select(F.col("src").alias("node"), F.col("dst").alias("next"), weight).union(merged.select("dst", "src", weight)).groupBy("node", "next").agg(F.max("w").alias("w"))
+    slots = pairs.select("node", "next", F.explode(F.sequence(F.lit(1), F.col("w"))).alias("copy"))
+    ranked = cut(numbered(slots, ["node"], ["next", "copy"], "slot").select("node", "next", (F.col("slot") - 1).alias("slot")), "adjacency")
+    degrees = cut(ranked.groupBy("node").agg(F.count("*").alias("degree")), "degrees")
     starts = degrees.filter(node_type(F.col("node")) == "p").select("node", F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("w"))
     now = starts.select(F.concat("node", F.lit("#"), F.col("w").cast("string")).alias("walk"), F.lit(0).alias("step"), "node")
     out = now
     for step in range(1, steps + 1):
-        drawn = now.join(degrees, "node").select("walk", "node", (portable_hash(F.lit(seed), F.col("walk"), F.lit(str(step))) % F.col("degree")).alias("index"))
-        now = cut(drawn.join(ranked, ["node", "index"]).select("walk", F.lit(step).alias("step"), F.col("next").alias("node")), "walks")
+        drawn = now.join(degrees, "node").select("walk", "node", (portable_hash(F.lit(seed), F.col("walk"), F.lit(str(step))) % F.col("degree")).alias("slot"))
+        now = cut(drawn.join(ranked, ["node", "slot"]).select("walk", F.lit(step).alias("step"), F.col("next").alias("node")), "walks")
         out = out.unionByName(now)
     return out
 
 
-def embed(walks: DataFrame, size: int = 8, seed: int = 7, partitions: int = 1) -> DataFrame:
-    """(node, vector): skip-gram vectors over walks as sentences. One partition is deterministic."""
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
+def embed(walks: DataFrame, size: int = 16, window: int = 2) -> DataFrame:
+    """(node, vector): positive pointwise mutual information of nodes that walks visit within ``window``
+    steps of each other, projected to ``size`` dimensions (32 at most) and scaled to length 1.
+
+    The projection adds every context with signs from its MD5, so that vectors are one aggregation:
+    no vocabulary on the driver, no order of training, the same result at any partitioning.
+    """
+    near = walks.select("walk", "step", F.col("node").alias("context"))
+    met = walks.select("walk", "node", F.explode(F.array(*[F.col("step") + k for k in range(-window, window + 1) if k])).alias("step")).join(near, ["walk", "step"])
+    counts = cut(met.groupBy("node", "context").agg(F.count("*").alias("n")), "co-visits")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    sums = counts.groupBy("node").agg(F.sum("n").alias("a"))
+    both = counts.join(sums, "node").join(sums.select(F.col("node").alias("context"), F.col("a").alias("b")), "context")
+    gain = F.greatest(F.lit(0.0), F.log(F.col("n") * F.lit(float(total)) / (F.col("a") * F.col("b"))))
+    signed = both.select("node", gain.alias("gain"), F.md5("context").alias("h"))
+    sign = lambda d: F.when(F.conv(F.substring("h", d + 1, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
+    added = signed.groupBy("node").agg(*[F.sum(F.col("gain") * sign(d)).alias(f"d{d}") for d in range(size)])
+    length = F.sqrt(sum((F.col(f"d{d}") * F.col(f"d{d}") for d in range(1, size)), F.col("d0") * F.col("d0")))
+    return added.select("node", F.array(*[F.when(length > 0, F.col(f"d{d}") / length).otherwise(0.0) for d in range(size)]).alias("vector"))
+
+
+def _distances(centroids: list[list[float]]) -> list[Column]:
+    square = lambda a, b: (a - b) * (a - b)
+    return [F.greatest(F.aggregate(F.zip_with("vector", F.array(*[F.lit(x) for x in c]), square), F.lit(0.0), lambda s, x: s + x), F.lit(1e-12)) for c in centroids]
+
 
-    sentences = walks.groupBy("walk").agg(F.array_sort(F.collect_list(F.struct("step", "node"))).alias("s")).select("walk", F.transform("s", lambda x: x["node"]).alias("sentence"))
-    model = Word2Vec(vectorSize=size, minCount=1, seed=seed, numPartitions=partitions, maxIter=1, inputCol="sentence", outputCol="v").fit(sentences.orderBy("walk"))
-    return model.getVectors().select(F.col("word").alias("node"), vector_to_array("vector").alias("vector"))
+def _memberships(centroids: list[list[float]], fuzziness: float) -> Column:
+    near = [F.pow(far, F.lit(-1.0 / (fuzziness - 1.0))) for far in _distances(centroids)]
+    total = sum(near[1:], near[0])
+    return F.array(*[x / total for x in near])
 
 
-def soft_clusters(vectors: DataFrame, k: int = 4, fuzziness: float = 2.0, rounds: int = 8, seed: int = 7, threshold: float = 0.3) -> DataFrame:
-    """(node, cluster, weight) by fuzzy c-means; weights of a node add up to 1 before ``threshold``.
+def fuzzy_centroids(vectors: DataFrame, k: int, fuzziness: float = 2.0, tolerance: float = 1e-3, seed: int = 7) -> list[list[float]]:
+    """Centroids of fuzzy c-means, from ``k`` vectors drawn by hash, until none moves ``tolerance``.
 
     Centroids are ``k`` short vectors; each round is one aggregation with map-side combining.
     """
     first = vectors.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(k).collect()
-    centroids = [list(r.vector) for r in first]
+    jitter = random.Random(seed)
+    centroids = [[x + 1e-6 * jitter.random() for x in r.vector] for r in first]
+    while centroids:
+        weighed = vectors.select("vector", F.transform(_memberships(centroids, fuzziness), lambda w: F.pow(w, F.lit(fuzziness))).alias("w"))
+        size = len(centroids[0])
+        sums = [F.sum(F.get("w", F.lit(j)) * F.get("vector", F.lit(d))).alias(f"s{j}_{d}") for j in range(len(centroids)) for d in range(size)]
+        row = weighed.agg(*sums, *[F.sum(F.get("w", F.lit(j))).alias(f"t{j}") for j in range(len(centroids))]).first()
+        moved = [[row[f"s{j}_{d}"] / max(row[f"t{j}"], 1e-12) for d in range(size)] for j in range(len(centroids))]
+        far = max(sum((a - b) ** 2 for a, b in zip(x, y, strict=True)) for x, y in zip(moved, centroids, strict=True)) ** 0.5
+        centroids = moved
+        if far <= tolerance:
+            break
+    return centroids
+
+
+def soft_clusters(vectors: DataFrame, k: int = 4, fuzziness: float = 2.0, seed: int = 7, threshold: float = 0.3) -> DataFrame:
+    """(node, cluster, weight) by fuzzy c-means; weights of a node add up to 1 before ``threshold``. A
+    node stays in its best cluster and in all others of at least ``threshold``."""
+    centroids = fuzzy_centroids(vectors, k, fuzziness, seed=seed)
     if not centroids:
         return vectors.select("node", F.lit(0).alias("cluster"), F.lit(0.0).alias("weight"))
-    jitter = random.Random(seed)
-    centroids = [[x + 1e-6 * jitter.random() for x in c] for c in centroids]
-    size = len(centroids[0])
-
-    def weights() -> Column:
-        far = [F.greatest(F.aggregate(F.zip_with("vector", F.array(*[F.lit(x) for x in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x), F.lit(1e-12)) for c in centroids]
-        near = [F.pow(f, F.lit(-1.0 / (fuzziness - 1.0))) for f in far]
-        total = near[0]
-        for x in near[1:]:
-            total = total + x
-        return F.array(*[x / total for x in near])
-
-    for _ in range(rounds):
-        weighed = vectors.select("vector", weights().alias("w"))
-        power = lambda j: F.pow(F.get("w", F.lit(j)), F.lit(fuzziness))
-        sums = [F.sum(power(j) * F.get("vector", F.lit(d))).alias(f"s{j}_{d}") for j in range(len(centroids)) for d in range(size)]
-        row = weighed.agg(*sums, *[F.sum(power(j)).alias(f"t{j}") for j in range(len(centroids))]).first()
-        centroids = [[row[f"s{j}_{d}"] / max(row[f"t{j}"], 1e-12) for d in range(size)] for j in range(len(centroids))]
-    rows = vectors.select("node", F.posexplode(weights()).alias("cluster", "weight"))
-    best = F.max("weight").over(Window.partitionBy("node"))
-    return rows.withColumn("best", best).filter((F.col("weight") >= threshold) | (F.col("weight") == F.col("best"))).select("node", "cluster", "weight")
-
-
-def partition_coefficient(vectors: DataFrame, candidates: tuple[int, ...] = (2, 3, 4, 5, 6)) -> DataFrame:
-    """(k, coefficient): the mean of squared memberships; the largest is the chosen number of clusters."""
-    out = None
-    for k in candidates:
-        rows = soft_clusters(vectors, k, threshold=0.0)
-        one = rows.groupBy("node").agg(F.sum(F.col("weight") * F.col("weight")).alias("u")).agg(F.avg("u").alias("coefficient")).select(F.lit(k).alias("k"), "coefficient")
-        out = one if out is None else out.unionByName(one)
-    return out
+    weights = vectors.select("node", _memberships(centroids, fuzziness).alias("w")).withColumn("best", F.array_max("w"))
+    rows = weights.select("node", "best", F.posexplode("w").alias("cluster", "weight"))
+    return rows.filter((F.col("weight") >= threshold) | (F.col("weight") == F.col("best"))).select("node", "cluster", "weight")
+
+
+def cluster_counts(vectors: DataFrame, patience: int = 2) -> list[tuple[int, float]]:
+    """(k, coefficient) from 2 clusters on, until ``patience`` more have not raised the best coefficient
+    or there are as many clusters as vectors. The coefficient is the mean of squared memberships,
+    rescaled so that memberships of 1/k give 0 at any k."""
+    n, found = vectors.count(), []
+    while len(found) + 2 <= n:
+        k = len(found) + 2
+        row = vectors.select(F.aggregate(_memberships(fuzzy_centroids(vectors, k), 2.0), F.lit(0.0), lambda s, x: s + x * x).alias("u")).agg(F.avg("u").alias("u")).first()
+        found.append((k, 1 - k / (k - 1) * (1 - row.u)))
+        if k - max(found, key=lambda x: (x[1], -x[0]))[0] >= patience:
+            break
+    return found
+
+
+def best_count(found: list[tuple[int, float]]) -> int:
+    """The number of clusters of the largest coefficient, of equals the smallest; 1 if none was tried."""
+    return max(found, key=lambda x: (x[1], -x[0]))[0] if found else 1
+
+
+def learned_communities(merged: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """(community, proc), overlapping: walks, vectors, as many soft clusters as the coefficient picks."""
+    vectors = cut(embed(random_walks(merged)).filter(node_type(F.col("node")) == "p"), "vectors")
+    found = soft_clusters(vectors, best_count(cluster_counts(vectors)), threshold=threshold)
+    return found.select(F.concat(F.lit("soft-"), F.col("cluster").cast("string")).alias("community"), F.col("node").alias("proc"))
 
 
 def merge_communities(members: DataFrame, least_overlap: float = 0.5) -> DataFrame:
     """(community, merged): communities joined where they share at least ``least_overlap`` of the
-    smaller one's processes; components of such pairs merge. Only processes pair communities up."""
+    smaller one's processes; components of such pairs merge. Only processes pair communities up.
+
+    A community that needs one common process links with all others of that process, which a star
+    around the smallest community of each process spans. Others meet on the smaller one's rarest
+    processes only, as many as a partner can't avoid, and are counted exactly then.
+    """
     procs = members.filter("type = 'p'").select("community", "nid").distinct()
-    size = procs.groupBy("community").agg(F.count("*").alias("size"))
-    a, b = procs.alias("a"), procs.alias("b")
-    common = a.join(b, (F.col("a.nid") == F.col("b.nid")) & (F.col("a.community") < F.col("b.community"))).groupBy(F.col("a.community").alias("src"), F.col("b.community").alias("dst")).agg(F.count("*").alias("n"))
-    sized = common.join(size.select(F.col("community").alias("src"), F.col("size").alias("sa")), "src").join(size.select(F.col("community").alias("dst"), F.col("size").alias("sb")), "dst")
-    pairs = sized.filter(F.col("n") >= least_overlap * F.least("sa", "sb")).select("src", "dst")
-    found = connected_components(pairs)
+    size = procs.groupBy("community").agg(F.count("*").alias("size")).withColumn("need", F.greatest(F.lit(1), F.ceil(least_overlap * F.col("size"))))
+    held = procs.groupBy("nid").agg(F.count("*").alias("held"))
+    rows = cut(procs.join(size, "community").join(held, "nid"), "merge-rows")
+    centre = rows.groupBy("nid").agg(F.min(F.struct("size", "community", "need")).alias("c")).filter("c.need = 1").select("nid", F.col("c.community").alias("dst"))
+    stars = rows.join(centre, "nid").filter("community != dst").select(F.col("community").alias("src"), "dst")
+    rarest = Window.partitionBy("community").orderBy("held", "nid")
+    prefix = rows.filter("need > 1").withColumn("r", F.row_number().over(rarest)).filter("r <= size - need + 1")
+    a, b = prefix.select("nid", F.col("community").alias("src"), F.col("size").alias("sa"), "need"), rows.select("nid", F.col("community").alias("dst"), F.col("size").alias("sb"))
+    met = a.join(b, "nid").filter(F.struct("sa", "src") < F.struct("sb", "dst")).select("src", "dst", "need").distinct()
+    common = met.join(procs.withColumnRenamed("community", "src"), "src").join(procs.withColumnRenamed("community", "dst"), ["dst", "nid"])
+    pairs = common.groupBy("src", "dst", "need").agg(F.count("*").alias("n")).filter("n >= need").select("src", "dst")
+    found = connected_components(stars.union(pairs))
     return size.select("community").join(found, F.col("community") == F.col("node"), "left").select("community", F.coalesce("component", "community").alias("merged"))
 
 
+def modularity(merged: DataFrame, labels: DataFrame) -> DataFrame:
+    """(n_edges, n_labels, modularity) of ``labels`` (node, label) on the undirected graph: the share of
+    edges inside a label less the share that equal degrees would put there by chance."""
+    pairs = merged.filter("src != dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    ends = pairs.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+    ends = cut(ends.select("la", "lb"), "label-ends")
+    sides = ends.select(F.explode(F.array(F.struct(F.col("la").alias("label"), (F.col("la") == F.col("lb")).alias("inside")), F.struct(F.col("lb").alias("label"), (F.col("la") == F.col("lb")).alias("inside")))).alias("e")).select("e.*")
+    per = sides.groupBy("label").agg(F.count("*").alias("degree"), (F.sum(F.col("inside").cast("long")) / 2).alias("inner"))
+    total = ends.count()
+    value = F.sum(F.col("inner") / F.lit(total) - F.pow(F.col("degree") / F.lit(2 * total), F.lit(2.0))) if total else F.lit(0.0)
+    return per.agg(F.lit(total).cast("long").alias("n_edges"), F.count("*").alias("n_labels"), F.coalesce(value, F.lit(0.0)).alias("modularity"))
+
+
 def community_f1(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """(community, matched, f1): best-matching true community of every predicted one, by F1 of members."""
     size_p = predicted.groupBy("community").agg(F.count("*").alias("np"))
@@ -179,10 +243,12 @@ def label_propagation(merged: DataFrame) -> DataFrame:
         own = F.coalesce(F.max(F.when(F.col("label") == F.col("own"), F.col("n"))), F.lit(0)).alias("kept")
         best = seen.join(now.select("node", F.col("label").alias("own")), "node").groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("b"), own)
         turn = F.struct(((node_type(F.col("node")) == "p") == F.lit(step % 2 == 0)).alias("first"), portable_hash(F.lit("turn"), F.lit(str(step)), F.col("node")).alias("hash"), "node")
-        wanted = cut(best.filter(-F.col("b.n") > F.col("kept")).select("node", F.col("b.label").alias("new"), turn.alias("turn")), "wanted")
-        if wanted.isEmpty():
+        wanted, seen_by = cut_with(best.filter(-F.col("b.n") > F.col("kept")).select("node", F.col("b.label").alias("new"), turn.alias("turn")), "wanted", n=F.count("*"))
+        if not seen_by["n"]:
             return now
         rivals = pairs.join(wanted.select("node", "turn"), "node").join(wanted.select(F.col("node").alias("next"), F.col("turn").alias("other")), "next")
         moved = wanted.join(rivals.filter("other > turn").select("node").distinct(), "node", "left_anti").select("node", "new")
+        last = now
         now = cut(now.join(moved, "node", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
+        release(last, wanted)
         step += 1

@@ -45,19 +45,26 @@ def nodes(edges: DataFrame) -> DataFrame:
     return ends(edges).select("label", attribute_1(label).alias("attr1"), attribute_2(label).alias("attr2"), node_type(label).alias("type"))
 
 
-def node_ids(all_nodes: DataFrame) -> DataFrame:
-    """``nid``: type letter and a dense number by label, one counter per type.
+def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """``rows`` with ``name``, numbers from 1 by ``order`` within each of ``keys``.
 
-    Labels are range-partitioned once; numbers are the rank within a partition plus the sizes of the
-    partitions before it, so no task sees a whole type.
+    Rows are range-partitioned once; numbers are the rank within a partition plus the sizes of the
+    partitions before it, so that no task sees a whole key. Only keys that span partitions have such
+    sizes, two rows a partition at most, which bounds the broadcast.
     """
-    spread = all_nodes.repartitionByRange("type", "label").withColumn("part", F.spark_partition_id())
-    placed = cut(spread, "node-ids")
-    sizes = placed.groupBy("type", "part").agg(F.count("*").alias("size"))
-    before = Window.partitionBy("type").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("type", "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
-    rank = F.row_number().over(Window.partitionBy("type", "part").orderBy("label"))
-    return placed.withColumn("rank", rank).join(offsets, ["type", "part"]).select(F.concat("type", (F.col("offset") + F.col("rank")).cast("string")).alias("nid"), "label", "attr1", "attr2", "type")
+    placed = cut(rows.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()), "numbered")
+    sizes = placed.groupBy(*keys, "__part").agg(F.count("*").alias("__size"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "__part", F.sum("__size").over(before).alias("__offset")).filter("__offset IS NOT NULL")
+    rank = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order))
+    found = placed.withColumn(name, rank).join(F.broadcast(offsets), [*keys, "__part"], "left")
+    return found.select(*rows.columns, (F.col(name) + F.coalesce("__offset", F.lit(0))).alias(name))
+
+
+def node_ids(all_nodes: DataFrame) -> DataFrame:
+    """``nid``: type letter and a dense number by label, one counter per type."""
+    found = numbered(all_nodes, ["type"], ["label"], "rank")
+    return found.select(F.concat("type", F.col("rank").cast("string")).alias("nid"), "label", "attr1", "attr2", "type")
 
 
 def degree(merged: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,8 @@ AUDIT_COLUMNS = ("event_id", "ts", "proc", "object", "object2", "op", "amount")
 
 
 class Graph:
-    """The tables of one input, each built when asked for."""
+    """The tables of one input. Those that several queries start from are written once, when the first
+    of them asks."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -45,41 +47,60 @@ class Graph:
     def kept(self, df: DataFrame, label: str) -> DataFrame:
         return cut(df, label)
 
+    @cached_property
+    def edges_all(self) -> DataFrame:
+        return self.kept(self.merged(), "merged")
 
-class Communities(Graph):
-    """Merged edges, communities, members and community edges, each written once."""
+    @cached_property
+    def labels(self) -> DataFrame:
+        return community.label_propagation(self.edges_all)
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        super().__init__(spark, sf_dir)
-        self.edges_all = self.kept(self.merged(), "merged")
-        self.communities = self.kept(community.lineage_communities(self.edges_all), "communities")
-        self.members = self.kept(community.membership(self.edges_all, self.communities), "members")
+    @cached_property
+    def vectors(self) -> DataFrame:
+        found = community.embed(community.random_walks(self.edges_all))
+        return self.kept(found.filter(node_type(F.col("node")) == "p"), "vectors")
 
-    def edges(self) -> DataFrame:
-        return community.community_edges(self.edges_all, self.members)
+    @cached_property
+    def counts(self) -> list[tuple[int, float]]:
+        return community.cluster_counts(self.vectors)
 
+    @cached_property
+    def communities(self) -> DataFrame:
+        return self.kept(community.lineage_communities(self.edges_all), "communities")
 
-class Paths(Communities):
-    """Inputs, outputs, feasible pairs and paths of all communities."""
+    @cached_property
+    def members(self) -> DataFrame:
+        return self.kept(community.membership(self.edges_all, self.communities), "members")
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        super().__init__(spark, sf_dir)
-        self.inner = self.kept(self.edges(), "community-edges")
-        self.at = self.kept(self.poi(), "poi")
-        self.inputs = summary.infopath_inputs(self.members, self.inner, self.at)
-        self.outputs = summary.infopath_outputs(self.members, self.inner, self.at)
+    @cached_property
+    def inner(self) -> DataFrame:
+        return self.kept(graph.induced(self.edges_all, self.members), "community-edges")
 
-    def pairs(self) -> DataFrame:
-        return summary.infopath_pairs(self.inputs, self.outputs)
+    @cached_property
+    def at(self) -> DataFrame:
+        return self.kept(self.poi(), "poi")
+
+    @cached_property
+    def inputs(self) -> DataFrame:
+        return summary.infopath_inputs(self.members, self.inner, self.at)
 
+    @cached_property
+    def outputs(self) -> DataFrame:
+        return summary.infopath_outputs(self.members, self.inner, self.at)
+
+    @cached_property
     def paths(self) -> DataFrame:
         return summary.simple_paths(summary.edge_weights(self.inner, self.at), self.inputs, self.outputs)
 
+    def pairs(self) -> DataFrame:
+        return summary.infopath_pairs(self.inputs, self.outputs)
+
     def best(self) -> DataFrame:
-        return summary.infopath_best(self.paths(), self.pairs())
+        return summary.infopath_best(self.paths, self.pairs())
 
+    @cached_property
     def ranked(self) -> DataFrame:
-        return summary.infopath_rank(self.best())
+        return self.kept(summary.infopath_rank(self.best()), "ranked")
 
 
 def _amount(df: DataFrame) -> DataFrame:
@@ -117,14 +138,14 @@ def reachable(g: Graph) -> DataFrame:
 
 
 def stream_merged_edges(g: Graph) -> DataFrame:
-    """The events table as a stream, merged batch by batch, without lineage."""
+    """The events table as a stream, merged batch by batch."""
     path = fresh_dir(g.spark, "stream")
-    ingest.start_merge(ingest.events_stream(g.spark, f"{g.dir}/events.parquet"), path, lateness="60 days").awaitTermination()
+    ingest.start_merge(ingest.events_stream(g.spark, f"{g.dir}/events.parquet"), path).awaitTermination()
     return ingest.merged_so_far(g.spark, path)
 
 
 def components(g: Graph) -> DataFrame:
-    return connected_components(g.kept(g.merged().select("src", "dst"), "merged"))
+    return connected_components(g.edges_all.select("src", "dst"))
 
 
 def votes(communities: DataFrame) -> DataFrame:
@@ -133,17 +154,33 @@ def votes(communities: DataFrame) -> DataFrame:
     return communities.withColumn("expert", F.explode(F.array(*[F.lit(x) for x in "abc"]))).select(F.col("proc").alias("nid"), F.concat(F.lit("c"), drawn.cast("string")).alias("community"), "expert")
 
 
-def community_f1(c: Communities) -> DataFrame:
+def community_f1(g: Graph) -> DataFrame:
     team = F.concat(F.lit("t"), F.floor(F.col("user_id") / 4).cast("string"))
-    truth = c.audit().select(team.alias("community"), F.col("proc").alias("nid")).distinct()
-    return community.community_f1(c.communities.withColumnRenamed("proc", "nid"), truth)
+    truth = g.audit().select(team.alias("community"), F.col("proc").alias("nid")).distinct()
+    return community.community_f1(g.communities.withColumnRenamed("proc", "nid"), truth)
 
 
-def vectors(g: Graph) -> DataFrame:
-    return community.embed(community.random_walks(g.kept(g.merged(), "merged"))).filter(node_type(F.col("node")) == "p")
+def embed(g: Graph) -> DataFrame:
+    """A row per process and dimension."""
+    return g.vectors.select("node", F.posexplode("vector").alias("dim", "value")).select("node", "dim", (F.round("value", 6) + 0.0).alias("value"))
 
 
-_GRAPH: dict[str, Callable[[Graph], DataFrame]] = {
+def soft(g: Graph, threshold: float = 0.3) -> DataFrame:
+    return community.soft_clusters(g.vectors, community.best_count(g.counts), threshold=threshold)
+
+
+def cluster_count(g: Graph) -> DataFrame:
+    best = community.best_count(g.counts)
+    return g.spark.createDataFrame([(k, c, k == best) for k, c in g.counts], "k int, coefficient double, chosen boolean")
+
+
+def learned_membership(g: Graph) -> DataFrame:
+    """Members of the learned communities: processes of soft clusters, their masters and resources."""
+    found = soft(g).select(F.concat(F.lit("soft-"), F.col("cluster").cast("string")).alias("community"), F.col("node").alias("proc"))
+    return community.membership(g.edges_all, g.kept(found, "learned"))
+
+
+_QUERIES: dict[str, Callable[[Graph], DataFrame]] = {
     "poi_lookup": lambda g: g.poi(),
     "events_parse": events_parse,
     "flow_edges": lambda g: g.flow(),
@@ -160,49 +197,45 @@ _GRAPH: dict[str, Callable[[Graph], DataFrame]] = {
     "leaf_groups": lambda g: compress.leaf_groups(g.merged()),
     "leaf_merge": lambda g: compress.leaf_merge(g.merged()),
     "proc_files": lambda g: compress.proc_files(g.merged()),
-    "proc_groups": lambda g: compress.proc_groups(g.kept(g.merged(), "merged")),
-    "file_groups": lambda g: compress.file_groups(g.kept(g.merged(), "merged")),
-    "collapsed_edges": lambda g: _amount(compress.collapse(m := g.kept(g.merged(), "merged"), compress.collapse_map(m))),
-    "compression_stats": lambda g: compress.compression_stats(m := g.kept(g.merged(), "merged"), g.kept(compress.collapse(m, compress.collapse_map(m)), "collapsed")),
+    "proc_groups": lambda g: compress.proc_groups(g.edges_all),
+    "file_groups": lambda g: compress.file_groups(g.edges_all),
+    "collapsed_edges": lambda g: _amount(compress.collapse(g.edges_all, compress.collapse_map(g.edges_all))),
+    "compression_stats": lambda g: compress.compression_stats(g.edges_all, g.kept(compress.collapse(g.edges_all, compress.collapse_map(g.edges_all)), "collapsed")),
     "components": components,
     "stream_merged_edges": lambda g: _amount(stream_merged_edges(g)),
-    "random_walks": lambda g: community.random_walks(g.merged()),
-    "label_propagation": lambda g: community.label_propagation(g.merged()),
-    "embed": vectors,
-    "soft_clusters": lambda g: community.soft_clusters(g.kept(vectors(g), "vectors")),
-    "cluster_count": lambda g: community.partition_coefficient(g.kept(vectors(g), "vectors"), (2, 3, 4)),
-}
-_COMMUNITIES: dict[str, Callable[[Communities], DataFrame]] = {
-    "lineage_communities": lambda c: c.communities,
-    "membership": lambda c: c.members,
-    "community_edges": lambda c: _amount(c.edges()),
-    "shared_nodes": lambda c: community.shared_nodes(c.members),
-    "community_stats": lambda c: community.community_stats(c.members, c.edges()),
-    "master_process": lambda c: summary.master_process(c.members, c.edges()),
-    "time_span": lambda c: summary.time_span(c.edges()),
-    "summary_edges": lambda c: summary.summary_edges(c.members, c.kept(c.edges(), "community-edges")),
-    "dot_lines": lambda c: sinks.dot_lines(c.members, c.edges()),
+    "random_walks": lambda g: community.random_walks(g.edges_all),
+    "label_propagation": lambda g: g.labels,
+    "modularity": lambda g: community.modularity(g.edges_all, g.labels),
+    "embed": embed,
+    "soft_clusters": soft,
+    "cluster_count": cluster_count,
+    "learned_membership": learned_membership,
+    "lineage_communities": lambda g: g.communities,
+    "membership": lambda g: g.members,
+    "community_edges": lambda g: _amount(graph.induced(g.edges_all, g.members)),
+    "shared_nodes": lambda g: community.shared_nodes(g.members),
+    "community_stats": lambda g: community.community_stats(g.members, g.inner),
+    "master_process": lambda g: summary.master_process(g.members, g.inner),
+    "time_span": lambda g: summary.time_span(g.inner),
+    "summary_edges": lambda g: summary.summary_edges(g.members, g.inner),
+    "dot_lines": lambda g: sinks.dot_lines(g.members, g.inner),
     "community_f1": community_f1,
-    "majority_vote": lambda c: community.majority_vote(c.communities.withColumnRenamed("proc", "nid"), votes(c.communities)),
-    "merged_communities": lambda c: community.merge_communities(c.members),
-}
-_PATHS: dict[str, Callable[[Paths], DataFrame]] = {
-    "infopath_inputs": lambda p: p.inputs,
-    "infopath_outputs": lambda p: p.outputs,
-    "infopath_pairs": lambda p: p.pairs(),
-    "simple_paths": lambda p: _text_path(p.paths()).drop("score"),
-    "infopath_scores": lambda p: _text_path(p.paths()).select("community", "path", F.round("score", 6).alias("score")),
-    "infopath_best": lambda p: _text_path(p.best()).withColumn("score", F.round("score", 6)),
-    "infopath_rank": lambda p: _text_path(p.ranked()).select("community", "path", "rank", F.round("share", 6).alias("share")),
-    "infopath_topk": lambda p: _text_path(summary.infopath_topk(p.ranked(), TOP_K)).select("community", "path", "rank"),
-    "community_summary": lambda p: summary.community_summary(p.members, p.inner, p.kept(p.ranked(), "ranked")),
+    "majority_vote": lambda g: community.majority_vote(g.communities.withColumnRenamed("proc", "nid"), votes(g.communities)),
+    "merged_communities": lambda g: community.merge_communities(g.members),
+    "infopath_inputs": lambda g: g.inputs,
+    "infopath_outputs": lambda g: g.outputs,
+    "infopath_pairs": lambda g: g.pairs(),
+    "simple_paths": lambda g: _text_path(g.paths).drop("score"),
+    "infopath_scores": lambda g: _text_path(g.paths).select("community", "path", F.round("score", 6).alias("score")),
+    "infopath_best": lambda g: _text_path(g.best()).withColumn("score", F.round("score", 6)),
+    "infopath_rank": lambda g: _text_path(g.ranked).select("community", "path", "rank", F.round("share", 6).alias("share")),
+    "infopath_topk": lambda g: _text_path(summary.infopath_topk(g.ranked, TOP_K)).select("community", "path", "rank"),
+    "community_summary": lambda g: summary.community_summary(g.members, g.inner, g.ranked),
 }
 
 
-def _bound(build: type, f: Callable) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: f(build(spark, sf_dir))
+def _bound(f: Callable[[Graph], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(Graph(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    name: _bound(build, f) for build, group in ((Graph, _GRAPH), (Communities, _COMMUNITIES), (Paths, _PATHS)) for name, f in group.items()
-}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _bound(f) for name, f in _QUERIES.items()}

@@ -46,7 +46,7 @@ collapsed AS (SELECT coalesce(a.rep, src) AS src, coalesce(b.rep, dst) AS dst, o
 COMMUNITY = f"""{COMPRESS},
 kids AS (SELECT DISTINCT src AS parent, dst AS child FROM merged WHERE op IN ('execve', 'clone')),
 touch AS (SELECT parent, child, resource FROM kids JOIN access ON access.proc = child),
-related AS (SELECT DISTINCT a.parent, a.child AS a, b.child AS b FROM touch a JOIN touch b USING (parent, resource)),
+related AS (SELECT DISTINCT a.parent, a.child AS a, b.child AS b FROM touch a JOIN touch b USING (parent, resource) UNION SELECT parent, child, child FROM kids),
 closure(parent, a, b) AS (SELECT parent, a, b FROM related UNION SELECT c.parent, c.a, r.b FROM closure c JOIN related r ON r.parent = c.parent AND r.a = c.b),
 communities AS MATERIALIZED (SELECT parent || '/' || min(b) AS community, a AS proc FROM closure GROUP BY parent, a),
 members AS MATERIALIZED (SELECT DISTINCT community, nid, {kind('nid')} AS type FROM (SELECT community, proc AS nid FROM communities
@@ -63,7 +63,7 @@ pairs AS (SELECT i.community, i.nid AS input, o.nid AS output FROM inputs i JOIN
 weights AS MATERIALIZED (SELECT community, src, dst, max(ln(1 + amount) / (1 + abs((SELECT ts FROM poi) - last_ts) / 3600000000)) AS w FROM cedges GROUP BY community, src, dst)"""
 PATHS = f"""{COMMUNITY},
 walk(community, input, spot, path, score, last_w, hops) AS (SELECT community, nid, nid, [nid], CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), 0 FROM inputs
-  UNION ALL SELECT x.community, input, e.dst, list_append(path, e.dst), score + w + last_w * w, w, hops + 1 FROM walk x JOIN weights e ON e.community = x.community AND e.src = x.spot WHERE hops < 4 AND NOT list_contains(path, e.dst)),
+  UNION ALL SELECT x.community, input, e.dst, list_append(path, e.dst), score + w + last_w * w, w, hops + 1 FROM walk x JOIN weights e ON e.community = x.community AND e.src = x.spot WHERE NOT list_contains(path, e.dst)),
 paths AS (SELECT x.community, input, spot AS output, array_to_string(path, ' ') AS path, hops, score FROM walk x JOIN outputs o ON o.community = x.community AND o.nid = x.spot WHERE hops > 0),
 best AS (SELECT * FROM (SELECT p.*, row_number() OVER (PARTITION BY p.community, p.input, p.output ORDER BY round(score, 9) DESC, hops, path) AS r FROM paths p JOIN pairs q ON q.community = p.community AND q.input = p.input AND q.output = p.output) WHERE r = 1),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY round(score, 9) DESC, hops, path) AS rank, CASE WHEN max(score) OVER (PARTITION BY community) > 0 THEN score / max(score) OVER (PARTITION BY community) ELSE 0 END AS share FROM best)"""
@@ -76,21 +76,28 @@ def w(prelude: str, body: str) -> str:
 EDGE = "src, dst, op, first_ts, last_ts, n, round(amount, 4) AS amount"
 
 
-def _walks(steps: int) -> str:
-    parts = ["w0 AS (SELECT node || '#0' AS walk, 0 AS step, node FROM deg WHERE " + kind("node") + " = 'p')"]
+def _walks(steps: int, walks: int) -> str:
+    parts = [f"w0 AS (SELECT node || '#' || k AS walk, 0 AS step, node FROM deg, (SELECT unnest(range({walks})) AS k) WHERE " + kind("node") + " = 'p')"]
     for s in range(1, steps + 1):
-        parts.append(f"w{s} AS (SELECT walk, {s} AS step, next AS node FROM (SELECT walk, w.node, CAST(('0x' || substr(md5('walk-1|' || walk || '|{s}'), 1, 8)) AS BIGINT) % degree AS i FROM w{s - 1} w JOIN deg USING (node)) JOIN adj ON adj.node = w.node AND adj.i = i)".replace("JOIN adj ON adj.node = w.node AND adj.i = i", "AS d JOIN adj ON adj.node = d.node AND adj.i = d.i").replace("SELECT walk, w.node, CAST", "SELECT walk, w.node AS node, CAST"))
+        drawn = f"SELECT walk, w.node AS node, CAST(('0x' || substr(md5('walk-1|' || walk || '|{s}'), 1, 8)) AS BIGINT) % degree AS slot FROM w{s - 1} w JOIN deg USING (node)"
+        parts.append(f"w{s} AS MATERIALIZED (SELECT walk, {s} AS step, next AS node FROM ({drawn}) d JOIN adj USING (node, slot))")
     return ", ".join(parts)
 
 
-def _propagation(rounds: int) -> str:
-    parts = ["l0 AS (SELECT DISTINCT node, node AS label FROM nb)"]
-    for r in range(1, rounds + 1):
-        parts.append(f"l{r} AS MATERIALIZED (SELECT node, arg_min(label, (-n, label)) AS label FROM (SELECT nb.node, l.label, count(*) AS n FROM nb JOIN l{r - 1} l ON l.node = nb.next GROUP BY nb.node, l.label) GROUP BY node)")
-    return ", ".join(parts)
+STEPS, WALKS, SIZE, NEAR = 8, 2, 16, 2
+GUIDED = f"""nb AS (SELECT node, next, max(w) AS w FROM (SELECT src AS node, dst AS next, CASE WHEN op IN ('execve', 'clone') THEN 3 ELSE 1 END AS w FROM merged
+  UNION ALL SELECT dst, src, CASE WHEN op IN ('execve', 'clone') THEN 3 ELSE 1 END FROM merged) GROUP BY node, next),
+adj AS MATERIALIZED (SELECT node, next, row_number() OVER (PARTITION BY node ORDER BY next, c) - 1 AS slot FROM (SELECT node, next, unnest(range(w)) AS c FROM nb)),
+deg AS MATERIALIZED (SELECT node, count(*) AS degree FROM adj GROUP BY node), {_walks(STEPS, WALKS)},
+walks AS MATERIALIZED ({" UNION ALL ".join(f"SELECT walk, step, node FROM w{s}" for s in range(STEPS + 1))})"""
+_SIGNS = ", ".join(f"sum(gain * CASE WHEN CAST(('0x' || substr(h, {d + 1}, 1)) AS INTEGER) % 2 = 0 THEN 1 ELSE -1 END) AS d{d}" for d in range(SIZE))
+VECTORS = f"""covisits AS MATERIALIZED (SELECT a.node, b.node AS context, count(*) AS n FROM walks a JOIN walks b ON a.walk = b.walk AND a.step <> b.step AND abs(a.step - b.step) <= {NEAR} GROUP BY a.node, b.node),
+sums AS (SELECT node, sum(n) AS t FROM covisits GROUP BY node),
+gains AS (SELECT c.node, greatest(0, ln(CAST(n AS DOUBLE) * (SELECT CAST(sum(n) AS DOUBLE) FROM covisits) / (a.t * b.t))) AS gain, md5(context) AS h FROM covisits c JOIN sums a ON a.node = c.node JOIN sums b ON b.node = c.context),
+added AS (SELECT node, {_SIGNS} FROM gains GROUP BY node),
+lengths AS (SELECT *, sqrt({" + ".join(f"d{d} * d{d}" for d in range(SIZE))}) AS length FROM added)"""
 
 
-NEIGHBOURS = "nb AS MATERIALIZED (SELECT DISTINCT node, next FROM (SELECT src AS node, dst AS next FROM merged UNION ALL SELECT dst, src FROM merged))"
 SHOW = "strftime(make_timestamp({0}), '%Y-%m-%d %H:%M:%S')"
 SPAN = SHOW.format("start_ts") + " || '->' || " + SHOW.format("end_ts")
 
@@ -99,7 +106,7 @@ ORACLES = {
     "events_parse": w(AUDIT, "SELECT event_id, ts, proc, object, object2, op, amount FROM audit"),
     "flow_edges": w(FLOW, "SELECT src, dst, op, ts, amount FROM edges"),
     "merged_edges": w(MERGED, f"SELECT {EDGE} FROM merged"),
-    "stream_merged_edges": w(FLOW, "SELECT src, dst, op, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n, round(sum(amount), 4) AS amount FROM flow GROUP BY src, dst, op"),
+    "stream_merged_edges": w(MERGED, f"SELECT {EDGE} FROM merged"),
     "edge_keys": w(MERGED, "SELECT src, dst, op, row_number() OVER (PARTITION BY src, dst ORDER BY op) - 1 AS key FROM merged"),
     "nodes": w(MERGED, f"""SELECT label, CASE WHEN t = 'p' THEN regexp_extract(label, '^(.*)\\([0-9]+\\)$', 1) WHEN t = 'n' THEN regexp_extract(label, '^(.*):[0-9]+->', 1) ELSE '' END AS attr1,
         CASE WHEN t = 'p' THEN regexp_extract(label, '\\(([0-9]+)\\)$', 1) WHEN t = 'n' THEN regexp_extract(label, '->(.*):[0-9]+$', 1) ELSE regexp_replace(label, '\\.[^./]*$', '') END AS attr2, t AS type
@@ -123,8 +130,9 @@ ORACLES = {
     "compression_stats": w(COMPRESS, """SELECT *, round(nodes_after / nodes_before, 6) AS node_ratio, round(edges_after / edges_before, 6) AS edge_ratio FROM (SELECT
         (SELECT count(DISTINCT x) FROM (SELECT src AS x FROM merged UNION ALL SELECT dst FROM merged)) AS nodes_before, (SELECT count(*) FROM merged) AS edges_before,
         (SELECT count(DISTINCT x) FROM (SELECT src AS x FROM collapsed UNION ALL SELECT dst FROM collapsed)) AS nodes_after, (SELECT count(*) FROM collapsed) AS edges_after)"""),
-    "components": w(f"""{COMPRESS}, net AS (SELECT proc AS a, resource AS b FROM access WHERE {kind('resource')} = 'n'), both_ways AS (SELECT a, b FROM net UNION ALL SELECT b, a FROM net),
-        cl(a, b) AS (SELECT a, a FROM both_ways UNION SELECT cl.a, e.b FROM cl JOIN both_ways e ON e.a = cl.b)""", "SELECT a AS node, min(b) AS component FROM cl GROUP BY a"),
+    "components": f"""WITH RECURSIVE {MERGED.strip()}, both_ways AS MATERIALIZED (SELECT src AS a, dst AS b FROM merged UNION SELECT dst, src FROM merged),
+        cl(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM both_ways UNION SELECT e.b, min(c.component) FROM cl c JOIN both_ways e ON e.a = c.node JOIN recurring.cl r ON r.node = e.b WHERE c.component < r.component GROUP BY e.b)
+        SELECT node, component FROM cl""",
     "lineage_communities": w(COMMUNITY, "SELECT community, proc FROM communities"),
     "membership": w(COMMUNITY, "SELECT community, nid, type FROM members"),
     "community_edges": w(COMMUNITY, f"SELECT community, {EDGE} FROM cedges"),
@@ -150,8 +158,8 @@ ORACLES = {
         SELECT community, 1 AS part, nid AS a, '' AS b, '' AS c, '"' || nid || '" [shape=' || CASE type WHEN 'p' THEN 'box' WHEN 'f' THEN 'ellipse' ELSE 'parallelogram' END || '];' AS line FROM members
         UNION ALL SELECT community, 2, src, dst, op, '"' || src || '" -> "' || dst || '" [key=' || CAST(row_number() OVER (PARTITION BY community, src, dst ORDER BY op) - 1 AS VARCHAR) || ', label="' || src || '->' || dst || ': ' || op || '"];' FROM cedges
         UNION ALL SELECT DISTINCT community, 0, '', '', '', 'digraph {{' FROM members UNION ALL SELECT DISTINCT community, 3, '', '', '', '}}' FROM members)"""),
-    "random_walks": w(f"{MERGED}, {NEIGHBOURS}, adj AS MATERIALIZED (SELECT node, next, row_number() OVER (PARTITION BY node ORDER BY next) - 1 AS i FROM nb), deg AS (SELECT node, count(*) AS degree FROM nb GROUP BY node), {_walks(4)}", " UNION ALL ".join(f"SELECT walk, step, node FROM w{s}" for s in range(5))),
-    "label_propagation": w(f"{MERGED}, {NEIGHBOURS}, {_propagation(3)}", "SELECT node, label FROM l3"),
+    "random_walks": w(f"{MERGED}, {GUIDED}", "SELECT walk, step, node FROM walks"),
+    "embed": w(f"{MERGED}, {GUIDED}, {VECTORS}", " UNION ALL ".join(f"SELECT node, {d} AS dim, round(CASE WHEN length > 0 THEN d{d} / length ELSE 0 END, 6) + 0.0 AS value FROM lengths WHERE {kind('node')} = 'p'" for d in range(SIZE))),
     "community_f1": w(f"{COMMUNITY}, truth AS (SELECT DISTINCT 't' || team AS matched, proc AS nid FROM audit), pred AS (SELECT community, proc AS nid FROM communities)", """SELECT community, matched, round(f1, 6) AS f1 FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY f1 DESC, matched) AS r FROM (
         SELECT p.community, t.matched, 2 * count(*) / ((SELECT count(*) FROM pred x WHERE x.community = p.community) + (SELECT count(*) FROM truth y WHERE y.matched = t.matched)) AS f1 FROM pred p JOIN truth t USING (nid) GROUP BY p.community, t.matched)) WHERE r = 1"""),
     "majority_vote": w(f"""{COMMUNITY}, votes AS (SELECT proc AS nid, e AS expert, 'c' || (CAST(('0x' || substr(md5('vote|' || proc || '|' || e), 1, 8)) AS BIGINT) % 3) AS vote FROM communities, (SELECT unnest(['a', 'b', 'c']) AS e)),
