@@ -220,10 +220,11 @@ def product(pairs: DataFrame, known: DataFrame, shared: Shared) -> DataFrame:
     now = materialise(pairs.join(sizes, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).withColumn("overlap", F.lit(0).cast("long")), "ngram-product")
     for block, rest in (("rare", "common"), ("common", None)):
         left = F.size(rest) if rest else F.lit(0)
-        partners = now.join(rows.select(F.col("vid").alias("a"), F.col(block).alias("x"), left.alias("xs")), "a")
-        centres = now.select("b", "parts").distinct().join(rows.select(F.col("vid").alias("b"), F.col(block).alias("y"), left.alias("ys")), "b")
+        # sorted merges at every size, as these sides outgrow any broadcast: a small input shows what a large one costs
+        partners = now.join(rows.select(F.col("vid").alias("a"), F.col(block).alias("x"), left.alias("xs")).hint("merge"), "a")
+        centres = now.select("b", "parts").distinct().join(rows.select(F.col("vid").alias("b"), F.col(block).alias("y"), left.alias("ys")).hint("merge"), "b")
         centres = centres.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "y", "ys")
-        met = partners.join(centres, ["b", "part"]).withColumn("overlap", F.col("overlap") + F.size(F.array_intersect("x", "y")))
+        met = partners.join(centres.hint("merge"), ["b", "part"]).withColumn("overlap", F.col("overlap") + F.size(F.array_intersect("x", "y")))
         met = met.filter((NUM + DEN) * (F.col("overlap") + F.least("xs", "ys")) >= NUM * (F.col("n") + F.col("m")))
         # rows that repeat are one
         now = materialise(met.groupBy("a", "b", "n", "m", "part", "parts").agg(F.max("overlap").alias("overlap")), "ngram-product")
