@@ -2,7 +2,12 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame
 that is written as Parquet and read again as the next stage's ``docs``. All but the last return the
-columns of ``documents``.
+columns of ``documents``; other columns of the input, whatever their names, are not carried.
+
+Defined results: null and empty texts fail the quality rules. Null ids pass the rules, hold no line and
+belong to no group, so that such rows stay unless the mix leaves them out; they draw one common number
+there. Rows that repeat an id are one document: they hold lines, join groups and are sampled together.
+An empty table passes through all stages. Very long texts are handled whole.
 """
 
 from __future__ import annotations
