@@ -145,6 +145,22 @@ def test_prefix_and_bounds():
     assert not np.intersect1d(ngramjoin.shingles("a b c d"), ngramjoin.shingles("a b c d e")).size
 
 
+def test_bitmaps_never_bound_below_the_overlap(spark):
+    rng, rows = np.random.default_rng(3), []
+    for n in (1, 2, 31, 32, 33, 63, 64, 65, 500, 3000):
+        for m in {n, -(-3 * n // 4), 4 * n // 3}:
+            pool = rng.integers(0, 1 << 63, n + m, dtype=np.uint64)
+            for shared in {0, min(n, m) // 2, min(n, m)}:
+                x, y = np.unique(pool[:n]), np.unique(np.concatenate([pool[:shared], pool[n : n + m - shared]]))
+                rows.append((len(x), len(y), len(np.intersect1d(x, y)), ngramjoin.bitmap(x).tolist(), ngramjoin.bitmap(y).tolist()))
+    df = spark.createDataFrame(rows, "n int, m int, overlap int, x array<long>, y array<long>").withColumn("size", F.least(F.size("x"), F.size("y")))
+    df = df.withColumn("p", ngramjoin._fold(F.col("x"), F.col("size"))).withColumn("q", ngramjoin._fold(F.col("y"), F.col("size")))
+    bound = F.least(F.col("n") - ngramjoin._only(F.col("p"), F.col("q")), F.col("m") - ngramjoin._only(F.col("q"), F.col("p")))
+    got = df.select("n", "m", "overlap", bound.alias("bound")).collect()
+    assert all(r.overlap <= r.bound for r in got)
+    assert all(r.bound < 0.75 * r.n for r in got if not r.overlap and min(r.n, r.m) >= 500)
+
+
 def test_mixing_reaches_targets(spark):
     rng = random.Random(3)
     rows = [(k, "the word " * rng.randint(20, 60), rng.choice(["en", "de", None]), rng.choice(["hot"] * 6 + ["a", "b"]), 0, "x") for k in range(3000)] + [(None, None, None, None, 0, "x"), (9999, "", "en", "a", 0, "x")]

@@ -11,10 +11,13 @@ sizes of two rows, ``o = ceil(t (n + m) / (1 + t))`` is the overlap that a link
    a centre, and the blocks' centres are linked to one of them. Pairs must pass the bounds of their
    sizes: ``min >= t max``, and the shingle stands at most ``n - o`` and ``m - o`` places into its
    rows; the first common shingle of a linked pair does.
-2. Product. The overlaps of nominated pairs accumulate over two blocks of columns, rare and frequent
-   ones: in each, blocks of up to ``BLOCK`` partners meet their centre's row. After the first block a
-   pair is discarded unless its count and what its rows still hold in the second block reach ``o``.
-   The counts after the second block are the whole overlaps, and alone decide the links.
+2. Product. First the rows' bitmaps meet, two to four bits a shingle (64 at least): a bit that only one
+   row has stands for a shingle that the other lacks, so that ``n`` less such bits, and ``m`` less
+   those of the other row, bound the overlap from above. Pairs whose bound is below ``o`` are discarded.
+   The overlaps of the others accumulate over two blocks of columns, rare and frequent ones: in each,
+   blocks of up to ``BLOCK`` partners meet their centre's row. After the first block a pair is
+   discarded unless its count and what its rows still hold in the second block reach ``o``. The counts
+   after the second block are the whole overlaps, and alone decide the links.
 3. Columns whose rows now lie in one component are done. In the others rows of different components
    meet, in blocks of ``BLOCK`` rows, within the same bounds; their counts accumulate per pair, and a
    pair is discarded unless its count and what its rows hold behind the last shared place reach ``o``.
@@ -89,6 +92,15 @@ def set_digest(grams: np.ndarray) -> bytes | None:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None
 
 
+def bitmap(grams: np.ndarray) -> np.ndarray:
+    """Bits of the shingles' low hash bits, as longs: a power of two of them. A longer bitmap folds to a
+    shorter one by the bitwise or of its halves."""
+    size = 1 << max(6, (2 * len(grams) - 1).bit_length())
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[(grams & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def prefix_length(n: np.ndarray | int):
     return n - (NUM * n + DEN - 1) // DEN + 1
 
@@ -152,7 +164,7 @@ def _vertices(ids: np.ndarray, repeated: bytes, sets: list[np.ndarray] | None, t
 
 
 def _prefixes(shared: Shared):
-    """(vertex, doc, n, turn, digest if the set may have copies, prefix, salts of hot columns)."""
+    """(vertex, doc, n, turn, digest if the set may have copies, prefix, salts of hot columns, bitmap)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.frombuffer(shared.sketch.value, dtype=np.uint32)
@@ -171,15 +183,15 @@ def _prefixes(shared: Shared):
                 chosen = order[: prefix_length(len(grams))]
                 parts = -(-counts[chosen].astype(np.int64) // shared.least_hot)
                 salts = np.where(parts > 1, 1 + ((v * 2654435761 >> 16) & 0x7FFFFFFF) % np.maximum(parts, 1), 0) if parts.max() > 1 else None
-                for name, value in zip(cols, (v, doc, len(grams), turn, digest if may else None, grams[chosen].view(np.int64), salts), strict=True):
+                for name, value in zip(cols, (v, doc, len(grams), turn, digest if may else None, grams[chosen].view(np.int64), salts, bitmap(grams)), strict=True):
                     cols[name].append(value)
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_pydict({c: pa.array(v, t) for (c, v), t in zip(cols.items(), types, strict=True)})
 
     return run
 
 
-_PACKED = "vid long, doc long, n int, turn int, digest binary, grams array<long>, salts array<int>"
+_PACKED = "vid long, doc long, n int, turn int, digest binary, grams array<long>, salts array<int>, bits array<long>"
 
 
 def _incidence(shared: Shared):
@@ -208,25 +220,43 @@ def _needed(n: Column, m: Column) -> Column:
     return F.ceil(F.lit(NUM) * (n + m) / (NUM + DEN))
 
 
-def product(pairs: DataFrame, known: DataFrame, shared: Shared) -> DataFrame:
+def _fold(bits: Column, size: Column) -> Column:
+    """A bitmap of ``size`` or ``2 * size`` longs, as one of ``size``: all that the bound on sizes allows."""
+    return F.when(F.size(bits) <= size, bits).otherwise(F.zip_with(F.slice(bits, F.lit(1), size), F.slice(bits, size + 1, size), lambda p, q: p.bitwiseOR(q)))
+
+
+def _only(x: Column, y: Column) -> Column:
+    """Bits of ``x`` that ``y`` lacks."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda total, n: total + n)
+
+
+def _meet(now: DataFrame, rows: DataFrame, column: str, left: Column) -> DataFrame:
+    """Pairs with ``column`` of both rows as x and y, and ``left`` of both as xs and ys."""
+    # sorted merges at every size, as these sides outgrow any broadcast: a small input shows what a large one costs
+    partners = now.join(rows.select(F.col("vid").alias("a"), F.col(column).alias("x"), left.alias("xs")).hint("merge"), "a")
+    centres = now.select("b", "parts").distinct().join(rows.select(F.col("vid").alias("b"), F.col(column).alias("y"), left.alias("ys")).hint("merge"), "b")
+    centres = centres.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "y", "ys")
+    return partners.join(centres.hint("merge"), ["b", "part"])
+
+
+def product(pairs: DataFrame, known: DataFrame, bitmaps: DataFrame, shared: Shared) -> DataFrame:
     """(a, b, overlap) of those pairs (a, b, n, m) that reach the needed overlap: whole overlaps,
     accumulated over the two blocks of columns. Partners of a centre b are dealt into salted blocks."""
     spark = pairs.sparkSession
-    members = pairs.select(F.explode(F.array("a", "b")).alias("vid")).distinct()
-    members, some = cut_with(members, "ngram-members", n=F.count("*"))
+    many = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).filter("parts > 1")
+    dealt = pairs.join(maybe_broadcast(many), "b", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).withColumn("overlap", F.lit(0).cast("long"))
+    # a row that repeats has one bitmap; rows that repeat are one
+    met = _meet(dealt, bitmaps, "bits", F.size("bits")).withColumn("xs", F.least("xs", "ys"))
+    met = met.withColumn("x", _fold(F.col("x"), F.col("xs"))).withColumn("y", _fold(F.col("y"), F.col("xs")))
+    bound = F.least(F.col("n") - _only(F.col("x"), F.col("y")), F.col("m") - _only(F.col("y"), F.col("x")))
+    now = materialise(met.filter(bound >= _needed(F.col("n"), F.col("m"))).select(*dealt.columns).distinct(), "ngram-product")
+    members, some = cut_with(now.select(F.explode(F.array("a", "b")).alias("vid")).distinct(), "ngram-members", n=F.count("*"))
     shared = replace(shared, members=spark.sparkContext.broadcast(bloom.of_ids(members, some["n"])))
     rows = materialise(known.mapInArrow(_incidence(shared), "vid long, rare array<long>, common array<long>"), "ngram-rows")
-    sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    now = materialise(pairs.join(sizes, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).withColumn("overlap", F.lit(0).cast("long")), "ngram-product")
     for block, rest in (("rare", "common"), ("common", None)):
-        left = F.size(rest) if rest else F.lit(0)
-        # sorted merges at every size, as these sides outgrow any broadcast: a small input shows what a large one costs
-        partners = now.join(rows.select(F.col("vid").alias("a"), F.col(block).alias("x"), left.alias("xs")).hint("merge"), "a")
-        centres = now.select("b", "parts").distinct().join(rows.select(F.col("vid").alias("b"), F.col(block).alias("y"), left.alias("ys")).hint("merge"), "b")
-        centres = centres.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "y", "ys")
-        met = partners.join(centres.hint("merge"), ["b", "part"]).withColumn("overlap", F.col("overlap") + F.size(F.array_intersect("x", "y")))
+        met = _meet(now, rows, block, F.size(rest) if rest else F.lit(0)).withColumn("overlap", F.col("overlap") + F.size(F.array_intersect("x", "y")))
         met = met.filter((NUM + DEN) * (F.col("overlap") + F.least("xs", "ys")) >= NUM * (F.col("n") + F.col("m")))
-        # rows that repeat are one
         now = materialise(met.groupBy("a", "b", "n", "m", "part", "parts").agg(F.max("overlap").alias("overlap")), "ngram-product")
     release(rows)
     return now.select("a", "b", "overlap")
@@ -282,6 +312,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.first(F.struct("vid", "n", "at")).over(by_gram.rowsBetween(Window.unboundedPreceding, 0)).alias("centre"),
     )
     columns, entries = cut_with(ranked.filter("rank > 1 OR next IS NOT NULL OR salt > 0").select("gram", "salt", "vid", "n", "at", "turn", "rank", F.col("centre.vid").alias("centre"), F.col("centre.n").alias("cn"), F.col("centre.at").alias("cat")), "ngram-columns", n=F.count("*"))
+    bitmaps = materialise(packed.select("vid", "bits"), "ngram-bitmaps")
     named = materialise(packed.filter("vid != doc").select(F.col("vid").alias("a"), F.col("doc").alias("b")), "ngram-named")
     release(packed)
     within = lambda n, at, m, bt: (DEN * F.least(n, m) >= NUM * F.greatest(n, m)) & (at <= n - _needed(n, m)) & (bt <= m - _needed(n, m))
@@ -291,7 +322,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     first, some = cut_with(nominated(columns).unionByName(nominated(heads.join(tops, "gram"))).distinct(), "ngram-pairs", n=F.count("*"))
     links = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).union(named)
     if some["n"]:
-        links = links.union(product(first, known, shared).select("a", "b"))
+        links = links.union(product(first, known, bitmaps, shared).select("a", "b"))
     found = materialise(connected_components(links, "a", "b"), "ngram-components")
 
     # columns that still span components: rows of different components meet; the one pair of two rows is decided
@@ -310,7 +341,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         tested = first.select("a", "b").union(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
         second, more = cut_with(possible.join(tested, ["a", "b"], "left_anti"), "ngram-pairs", n=F.count("*"))
         if more["n"]:
-            found = materialise(connected_components(links.union(product(second, known, shared).select("a", "b")), "a", "b"), "ngram-components")
+            found = materialise(connected_components(links.union(product(second, known, bitmaps, shared).select("a", "b")), "a", "b"), "ngram-components")
     return rows.join(maybe_broadcast(found), F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
