@@ -55,7 +55,8 @@ WORDS = 5
 #: Similarity at least 3/4, in whole numbers: 4 * overlap >= 3 * union.
 NUM, DEN = 3, 4
 SKETCH_BITS, SEGMENTS = 20, 16
-MEMO = 400_000
+#: Words whose hashes a worker remembers (about 200 bytes each); a bound on memory, never on results.
+MEMO = 100_000
 #: Rows that meet at once in a block of a column, and partners of a centre in a block of the product.
 BLOCK = 1000
 #: Share of all entries in the rare block of columns, which is multiplied first.
