@@ -1,7 +1,9 @@
 """Per-row operators: chunks, WARC, secrets, personal data, encoding, quality, against brute force."""
 
 import base64
+import gzip
 import hashlib
+import io
 import random
 import re
 import zlib
@@ -152,6 +154,29 @@ def test_warc_streams_in_any_pieces():
         list(warc.split_records(iter([stream[:-3]])))
 
 
+def test_warc_inflates_in_bounded_pieces():
+    """A megabyte of a well-packed stream holds a thousand of text."""
+    plain = bytes(9 * warc.READ_BYTES + 5)
+    packed = gzip.compress(plain) + gzip.compress(b"second") + gzip.compress(b"")
+    found = list(warc.inflate(io.BytesIO(packed)))
+    assert b"".join(found) == plain + b"second" and max(map(len, found)) <= warc.READ_BYTES
+    noise = random.Random(1).randbytes(3 * warc.READ_BYTES)
+    assert b"".join(warc.inflate(io.BytesIO(gzip.compress(noise)))) == noise
+    for cut in (packed[:-1], packed[:1000], b""):
+        with pytest.raises(ValueError):
+            list(warc.inflate(io.BytesIO(cut)))
+
+
+def test_warc_rolls_archives_of_very_long_pages(spark):
+    long = warc.ROLL_BYTES // 2 + 1
+    given = spark.range(3).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.col("id").cast("string"), F.repeat(F.lit("y"), long)).alias("html")).coalesce(1)
+    folder = fresh_dir(spark, "t-warc")
+    whole = warc.write_monolithic(given, folder + "/a")
+    assert sorted(r.n_records for r in whole.collect()) == [1, 2]
+    got = warc.read_archives(warc.normalise(whole, folder + "/b")).select("page_id", "payload_bytes", F.sha1("payload").alias("sha1"), "record_type").collect()
+    assert sorted(got) == sorted((k, long + 1, hashlib.sha1(str(k).encode() + b"y" * long).hexdigest(), "response") for k in range(3))
+
+
 def test_warc_empty_table(spark):
     folder = fresh_dir(spark, "t-warc")
     members = warc.normalise(warc.write_monolithic(pages(spark, [(1, "u", "h")]).filter("false"), folder + "/a"), folder + "/b")

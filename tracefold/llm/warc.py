@@ -123,14 +123,14 @@ def split_records(pieces: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def inflate(source) -> Iterator[bytes]:
-    """Pieces of a gzip file, of one member or many."""
+    """Pieces of a gzip file, of one member or many; none is over ``READ_BYTES``, however well it is packed."""
     member = zlib.decompressobj(31)
     while data := source.read(READ_BYTES):
         while data:
             if member.eof:
                 member = zlib.decompressobj(31)
-            yield member.decompress(data)
-            data = member.unused_data
+            yield member.decompress(data, READ_BYTES)
+            data = member.unused_data if member.eof else member.unconsumed_tail
     if not member.eof:
         raise ValueError("the gzip stream is cut")
 
