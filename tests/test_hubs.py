@@ -64,3 +64,30 @@ def test_children_of_one_parent_are_linked_by_workers_and_joins(spark, monkeypat
                 if p == q and f == g:
                     least[p, c] = least[p, d] = min(least[p, c], least[p, d])
     assert rows(community.lineage_communities(merged), "community", "proc") == sorted((f"{p}/{m}", c) for (p, c), m in least.items())
+
+
+def drawn_paths(spark):
+    draw = random.Random(3)
+    weights = {(c, f"n{a}", f"n{b}"): draw.choice([0.0, 0.5, 1.25, 2.0]) for c in "ab" for a in range(7) for b in range(7) if a != b and draw.random() < 0.55}
+    w = spark.createDataFrame([(*k, v) for k, v in weights.items()] + [("a", "n1", "n1", 9.0), ("c", "n0", "n1", 1.0)], "community string, src string, dst string, w double")
+    inputs = spark.createDataFrame([(c, f"n{k}", 3 * k) for c in "ab" for k in range(3)] + [("c", "n9", 0)], "community string, nid string, first_out long")
+    outputs = spark.createDataFrame([(c, f"n{k}", k + 1) for c in "ab" for k in range(1, 7)], "community string, nid string, last_in long")
+    return w, inputs, outputs
+
+
+@pytest.mark.parametrize("most", [None, 3])
+def test_paths_by_workers_equal_paths_by_joins(spark, most):
+    given = drawn_paths(spark)
+    assert rows(summary.simple_paths(*given, most)) == rows(summary._grown_paths(*given, most)) != []
+
+
+@pytest.mark.parametrize("narrow", [0, 10_000])
+def test_best_paths_need_no_list_of_all_paths(spark, monkeypatch, narrow):
+    monkeypatch.setattr(grouped, "NARROW", narrow)
+    w, inputs, outputs = drawn_paths(spark)
+    every = summary._grown_paths(w, inputs, outputs, None)
+    best = summary.best_paths(w, inputs, outputs)
+    expect = rows(summary.infopath_best(every, summary.infopath_pairs(inputs, outputs)))
+    assert rows(best, *every.columns) == expect != []
+    if narrow:
+        assert most_rows(summary.best_paths(w, inputs, outputs)) < every.count() / 5

@@ -41,8 +41,7 @@ def summarise(flow: DataFrame, poi: DataFrame, learned: bool = False, max_edges:
     members = cut(community.membership(collapsed, collapsed_communities(found, mapping)), "members")
     edges = cut(graph.induced(collapsed, members), "community-edges")
     inputs, outputs = summary.infopath_inputs(members, edges, poi), summary.infopath_outputs(members, edges, poi)
-    paths = summary.simple_paths(summary.edge_weights(edges, poi), inputs, outputs, max_edges)
-    ranked = cut(summary.infopath_rank(summary.infopath_best(paths, summary.infopath_pairs(inputs, outputs))), "ranked")
+    ranked = cut(summary.infopath_rank(summary.best_paths(summary.edge_weights(edges, poi), inputs, outputs, max_edges)), "ranked")
     return Summary(
         merged=merged, nodes=cut(graph.node_ids(graph.nodes(merged)), "nodes"), collapsed=collapsed, members=members, edges=edges, ranked=ranked,
         links=summary.summary_edges(members, edges), communities=summary.community_summary(members, edges, ranked), numbers=cut(sinks.community_numbers(members, edges), "numbers"),
