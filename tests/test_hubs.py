@@ -91,3 +91,28 @@ def test_best_paths_need_no_list_of_all_paths(spark, monkeypatch, narrow):
     assert rows(best, *every.columns) == expect != []
     if narrow:
         assert most_rows(summary.best_paths(w, inputs, outputs)) < every.count() / 5
+
+
+def moved(df, metric):
+    """The sum of a metric of the shuffles of the executed plan of ``df``."""
+    df.collect()
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        below = node.children()
+        own = node.metrics().get(metric).get().value() if kind == "ShuffleExchangeExec" else 0
+        return own + sum(walk(below.apply(k)) for k in range(below.size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_dot_lines_move_no_texts(spark):
+    from tracefold.sources import sinks
+
+    merged, members = hub_graph(spark)
+    lines = sinks.dot_lines(members, graph.induced(merged, members).localCheckpoint())
+    assert moved(lines, "dataSize") < 4 * sum(len(r.line) for r in lines.collect())

@@ -17,14 +17,22 @@ from tracefold.operators.summary import time_span
 
 
 def dot_lines(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """(community, line_no, line) of a digraph per community: nodes by label, then edges."""
-    nodes = members.select("community", F.lit(1).alias("part"), F.col("nid").alias("a"), F.lit("").alias("b"), F.lit("").alias("c"), F.concat(quoted(F.col("nid")), F.lit(" [shape="), shape(F.col("nid")), F.lit("];")).alias("line"))
-    arrows = _keys(edges).select("community", F.lit(2).alias("part"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("op").alias("c"), F.concat(quoted(F.col("src")), F.lit(" -> "), quoted(F.col("dst")), F.lit(" [key="), F.col("key").cast("string"), F.lit(", label="), quoted(edge_label(F.col("src"), F.col("dst"), F.col("op"))), F.lit("];")).alias("line"))
-    ids = members.select("community").distinct()
-    edge_of = lambda part, text: ids.select("community", F.lit(part).alias("part"), F.lit("").alias("a"), F.lit("").alias("b"), F.lit("").alias("c"), F.lit(text).alias("line"))
-    rows = edge_of(0, "digraph {").unionByName(nodes).unionByName(arrows).unionByName(edge_of(3, "}"))
-    order = Window.partitionBy("community").orderBy("part", "a", "b", "c")
-    return rows.select("community", F.row_number().over(order).cast("long").alias("line_no"), "line")
+    """(community, line_no, line) of a digraph per community: nodes by label, then edges.
+
+    Communities are dealt once, as narrow rows in one order from which keys and line numbers come; the
+    texts are made last.
+    """
+    row = lambda df, part, *cols: df.select("community", F.lit(part).alias("part"), *[(F.col(c) if c else F.lit("")).alias(x) for c, x in zip(cols, "abc", strict=True)])
+    frame = members.select("community").distinct().select("community", F.explode(F.array(F.lit(0), F.lit(3))).alias("part"), F.lit("").alias("a"), F.lit("").alias("b"), F.lit("").alias("c"))
+    arrows = row(edges.select("community", "src", "dst", "op").distinct(), 2, "src", "dst", "op")
+    dealt = frame.unionByName(row(members, 1, "nid", None, None)).unionByName(arrows).repartition("community")
+    number = F.row_number().over(Window.partitionBy("community").orderBy("part", "a", "b", "c")).cast("long")
+    key = (F.row_number().over(Window.partitionBy("community", "part", "a", "b").orderBy("c")) - 1).cast("string")
+    a, b, part = F.col("a"), F.col("b"), F.col("part")
+    node = F.concat(quoted(a), F.lit(" [shape="), shape(a), F.lit("];"))
+    arrow = F.concat(quoted(a), F.lit(" -> "), quoted(b), F.lit(" [key="), F.col("key"), F.lit(", label="), quoted(edge_label(a, b, F.col("c"))), F.lit("];"))
+    line = F.when(part == 0, "digraph {").when(part == 1, node).when(part == 2, arrow).otherwise("}")
+    return dealt.withColumn("key", key).withColumn("line_no", number).select("community", "line_no", line.alias("line"))
 
 
 def _keys(edges: DataFrame) -> DataFrame:
