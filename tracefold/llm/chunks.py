@@ -12,7 +12,8 @@
 
 Only texts that hold a shared chunk meet their chunk lists in a shuffle, found by a Bloom filter of
 their ids; all others are stored from the scan. A chunk held by a third of all documents is stored
-once, counted with map-side combining, and its rows are salted in both joins.
+once, counted with map-side combining, and its rows are salted in both joins. Joins of rows are sorted
+merges at every size, so that small inputs show what large ones cost.
 
 Defined results: null or empty text is a payload of padding alone. Null ``doc_id`` and repeated rows
 keep their own copy of the bytes where no other id shares them. Very long texts take one row each
@@ -161,14 +162,14 @@ def write_store(docs: DataFrame, path: str, cutter: Cutter = Cutter(), doc_id: s
     place = F.struct("doc_id", "at")
     holders = digests.groupBy("digest").agg(F.min(place).alias("owner"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
     shared = materialise(holders.filter("owner.doc_id != last").select("digest", F.col("owner.doc_id").alias("owner"), "n", F.col("n").alias("holders")), "chunk-shared")
-    held = salted_join(digests.select("doc_id", "digest"), shared, "digest", seen["n"], "doc_id")
+    held = salted_join(digests.select("doc_id", "digest"), shared.hint("merge"), "digest", seen["n"], "doc_id")
     chunks = F.collect_set(F.struct("digest", (F.col("doc_id") == F.col("owner")).alias("mine"), F.col("holders").alias("n"))).alias("chunks")
     lists, few = cut_with(held.groupBy("doc_id").agg(chunks), "chunk-lists", n=F.count("*"))
     packed = spark.sparkContext.broadcast(bloom.of_ids(lists.select("doc_id"), few["n"]))
     none = F.lit(None).cast(lists.schema["chunks"].dataType).alias("chunks")
     write = lambda rows, run: rows.mapInArrow(run, STORE).write.mode("append").option("compression", "zstd").parquet(path)
     write(keyed.select("doc_id", "text", none), _store_rows(cutter, packed))
-    joined = keyed.mapInArrow(_only(packed), keyed.schema).join(lists, "doc_id", "left").select("doc_id", "text", "chunks")
+    joined = keyed.mapInArrow(_only(packed), keyed.schema).join(lists.hint("merge"), "doc_id", "left").select("doc_id", "text", "chunks")
     write(joined, _store_rows(cutter))
 
 
@@ -205,11 +206,11 @@ def read_media(spark: SparkSession, path: str) -> DataFrame:
     # rows that repeat an owner's id lend the same bytes
     lent = store.select(F.explode("lent").alias("c")).select("c.*").groupBy("digest").agg(F.first("bytes").alias("bytes"), F.max("n").alias("n"))
     total = store.agg(F.sum(F.size("borrowed"))).first()[0] or 0
-    got = salted_join(missing, lent, "digest", total, "doc_id").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("digest", "bytes")).alias("fetched"))
+    got = salted_join(missing, lent.hint("merge"), "digest", total, "doc_id").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("digest", "bytes")).alias("fetched"))
     columns = ["doc_id", "n_bytes", "digests", "sizes", "own", F.transform("lent", lambda x: F.struct(x["digest"].alias("digest"), x["bytes"].alias("bytes"))).alias("lent")]
     # documents that borrow nothing stay where they are
     whole = store.filter(F.size("borrowed") == 0).select(*columns, F.lit(None).cast("array<struct<digest:binary,bytes:binary>>").alias("fetched"))
-    partial = store.filter(F.size("borrowed") > 0).join(got, F.col("doc_id") == F.col("__id"), "left").select(*columns, "fetched")
+    partial = store.filter(F.size("borrowed") > 0).join(got.hint("merge"), F.col("doc_id") == F.col("__id"), "left").select(*columns, "fetched")
     return whole.unionByName(partial).mapInArrow(_assemble, MEDIA)
 
 
