@@ -286,3 +286,19 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
         if k in got:
             assert got[k].ids == own.encode_ordinary(t) and got[k].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
     assert len(pipeline.STAGES) == 5
+
+
+def test_a_worker_frees_its_codec_for_another_operator():
+    import pyarrow as pa
+
+    from tracefold.llm import bpe, common
+
+    path, pattern = bpe.default_vocabulary()
+    batch = pa.RecordBatch.from_pydict({"text": ["a line"]})
+    own = bpe.codec(bpe.read_vocabulary(path), pattern)
+    list(common.pieces(iter([batch]), operator="bpe"))
+    assert list(bpe._CODECS.values()) == [own]  # kept between tasks
+    list(common.pieces(iter([batch])))
+    assert not bpe._CODECS
+    again = bpe.codec(bpe.read_vocabulary(path), pattern)
+    assert again.decode(again.encode(["a line"])) == [b"a line"]

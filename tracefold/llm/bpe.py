@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracefold.llm.common import pieces, table
+from tracefold.llm.common import keeps, pieces, table
 
 #: The code points with Unicode's White_Space property.
 WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -191,12 +191,19 @@ class Codec:
 _CODECS: dict[str, Codec] = {}
 
 
+def _drop_codecs() -> None:
+    for kept in _CODECS.values():
+        kept.db.close()
+    _CODECS.clear()
+
+
 def codec(vocabulary: bytes, pattern: str) -> Codec:
-    """The worker's codec; a worker keeps one."""
+    """The worker's codec; a worker keeps one until it works for another operator."""
     key = hashlib.sha256(vocabulary + b"\0" + pattern.encode()).hexdigest()
     if key not in _CODECS:
         _CODECS.clear()
         _CODECS[key] = Codec(vocabulary, pattern)
+        keeps("bpe", _drop_codecs)
     return _CODECS[key]
 
 
@@ -218,7 +225,7 @@ def _columns(batch: pa.RecordBatch, at: int, end: int, names: list[str]) -> dict
 def _encode_rows(shared, pattern: str, text: str, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value, pattern)
-        for batch in pieces(batches):
+        for batch in pieces(batches, operator="bpe"):
             texts = [t or "" for t in batch.column(text).to_pylist()]
             for at, end in _slices(texts):
                 ids = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in own.encode(texts[at:end])]
@@ -230,7 +237,7 @@ def _encode_rows(shared, pattern: str, text: str, keep: list[str]):
 def _decode_rows(shared, pattern: str, ids: str, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value, pattern)
-        for batch in pieces(batches):
+        for batch in pieces(batches, operator="bpe"):
             raw = [np.array(x or [], dtype="<i4").view("<u4").tobytes() for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_pydict(_columns(batch, 0, batch.num_rows, keep) | {"decoded": pa.array(own.decode(raw), pa.binary())})
 
@@ -258,7 +265,7 @@ def bpe_decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") ->
 def _round_trip(shared, pattern: str, text: str, keep: list[str], with_tokens: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value, pattern)
-        for batch in pieces(batches):
+        for batch in pieces(batches, operator="bpe"):
             texts = [t or "" for t in batch.column(text).to_pylist()]
             for at, end in _slices(texts):
                 ids = own.encode(texts[at:end])

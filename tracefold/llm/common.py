@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,12 +65,34 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, f"[{SPACE_CLASS}]+"), lambda w: w != "")
 
 
-def pieces(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(operator: str, drop: Callable[[], None]) -> None:
+    """This worker keeps state of ``operator`` between its tasks; ``drop`` frees it."""
+    _kept[operator] = drop
+
+
+def let_go(operator: str | None = None) -> None:
+    """Free what this worker keeps for other operators: workers are reused, and would hold it all along."""
+    others = [x for x in _kept if x != operator]
+    for x in others:
+        _kept.pop(x)()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+            trim(0)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES, operator: str | None = None) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches that hold about ``most`` bytes of text at a time, one row at least.
 
     Spark bounds its batches by bytes (``spark.sql.execution.arrow.maxBytesPerBatch``); Python objects
-    made of them take several times that, so that workers handle them in slices.
+    made of them take several times that, so that workers handle them in slices. What the worker keeps
+    for any other than ``operator`` goes first.
     """
+    let_go(operator)
     for batch in batches:
         if batch.nbytes <= most:
             yield batch
